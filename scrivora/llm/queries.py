@@ -11,6 +11,7 @@ from scrivora.llm.contamination import LeakSearch
 from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
 from scrivora.llm.mixing import SourceMix, vocabulary_token_count
+from scrivora.llm.similar_vectors import VectorIndex
 from scrivora.llm.splitting import split_long
 from scrivora.llm.term_frequency import mark_terms, term_frequencies
 from scrivora.session import read_table
@@ -36,6 +37,17 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_distinctiveness(read_table(spark, sf_dir, "articles"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = VectorIndex(read_table(spark, sf_dir, "doc_vectors"))
+    near = index.expand(index.neighbours(least=0.9))
+    return near.select(F.least("pos", "other").alias("doc_a"), F.greatest("pos", "other").alias("doc_b")).distinct()
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "doc_vectors")
+    return VectorIndex(vectors).search(vectors.where(F.col("doc_pos") % 100 == 0).select(F.col("doc_pos").alias("pos")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_frequencies(spark, sf_dir).where(F.col("mark").isNotNull()).select("term", "mark")
 
@@ -91,6 +103,8 @@ def queries() -> dict[str, Query]:
         "p1_groups": p1_groups,
         "p2_found": p2_found,
         "p2_scores": p2_scores,
+        "p3_found": p3_found,
+        "p3_search": p3_search,
         "p4_found": p4_found,
         "p4_frequencies": p4_frequencies,
         "p5_found": p5_found,
