@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrivora.llm.contamination import LeakSearch
 from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
+from scrivora.llm.language import LanguageIdentification
 from scrivora.llm.mixing import SourceMix, vocabulary_token_count
 from scrivora.llm.similar_vectors import VectorIndex
 from scrivora.llm.splitting import split_long
@@ -67,6 +68,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_long(read_table(spark, sf_dir, "articles"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).mislabelled()
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> LanguageIdentification:
+    return LanguageIdentification(read_table(spark, sf_dir, "articles"), read_table(spark, sf_dir, "article_langs"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).texts()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -109,6 +122,8 @@ def queries() -> dict[str, Query]:
         "p4_frequencies": p4_frequencies,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p6_found": p6_found,
+        "p6_languages": p6_languages,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p8_found": p8_found,
