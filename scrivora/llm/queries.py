@@ -12,6 +12,7 @@ from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
 from scrivora.llm.language import LanguageIdentification
 from scrivora.llm.mixing import SourceMix, vocabulary_token_count
+from scrivora.llm.residue import template_residue
 from scrivora.llm.similar_vectors import VectorIndex
 from scrivora.llm.splitting import split_long
 from scrivora.llm.term_frequency import mark_terms, term_frequencies
@@ -110,6 +111,14 @@ def p8_shares_bpe(spark: SparkSession, sf_dir: str, path: str = "/opt/tokenizers
     return _mix(spark, sf_dir, size=vocabulary_token_count(path, PATTERN)).report()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -130,4 +139,6 @@ def queries() -> dict[str, Query]:
         "p8_selection": p8_selection,
         "p8_shares": p8_shares,
         "p8_shares_bpe": p8_shares_bpe,
+        "p9_found": p9_found,
+        "p9_residue": p9_residue,
     }
