@@ -56,7 +56,7 @@ FILLER = re.compile(
     r"\b" + _TOPIC + r"\b[^.!?\n]{0,25}\b(?:goes|go|comes|belongs|will be|to be|is) (?:here|added|written|in this)\b"
     r"|\b" + _TOPIC + r"\b[^.!?\n]{0,25}(?:coming soon|to follow|follows soon|is coming)"
     r"|\b(?:enter|type|write|paste|insert|add|put|place)\b[^.!?\n]{0,20}\b" + _TOPIC + r"\b[^.!?\n]{0,20}\b(?:here|below|above|box|field|place)\b"
-    r"|\b(?:sample|dummy|placeholder|filler) (?:text|copy|content)\b"
+    r"|\b(?:sample|example|dummy|placeholder|filler) (?:text|copy|content)\b"
     r"|\b(?:click|tap|double-click|press)\b[^.!?\n]{0,20}\bto (?:edit|change|modify|add)\b"
     r"|\b(?:kliknij|stuknij|dotknij|naciśnij)\b[^.!?\n]{0,40}\b(?:edytować|zmienić|dodać)\b|tekst(?:em)? (?:zastępczy|przykładowy)|przykładowy tekst|\b(?:tu|tutaj)\b[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,20}\bwkrótce\b|wkrótce[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,25}do (?:uzupełnienia|napisania|wpisania|zastąpienia)|\b(?:wpisz|wklej|wstaw)\b"
     r"|\b(?:klicken|tippen|doppelklicken) sie\b[^.!?\n]{0,50}\b(?:bearbeiten|ändern)\b|\bhier\b[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,20}\b(?:folgt|kommt)\b|platzhalter|blindtext|mustertext|beispieltext|fülltext|" + _TOPIC + r"[^.!?\n]{0,25}(?:zu ersetzen|zu schreiben|einfügen|eingeben|ergänzen)"
@@ -70,13 +70,13 @@ ERROR = re.compile(
     r"\b(?:error|status|http|code|błąd|fehler|erreur|errore)\b[^.!?\n]{0,12}\b[45]\d\d\b|\b[45]\d\d\b[ :\-–—]{1,3}(?:not found|forbidden|gone|bad gateway|bad request|gateway time-?out|internal server error|service unavailable|too many requests|unauthorized|proxy|request time-?out)"
     r"|traceback|uncaught|unhandled|\bexception\b|fatal error|parse error|syntax error|\bwarning: |on line \d+|segmentation|stack trace|\b\w+error: "
     r"|not be found|not found|no longer (?:here|exists|available)|does not exist|nothing lives|looked everywhere|search instead|^go back|return to the (?:main|home|front)|has been (?:moved|deleted|removed|blocked|suspended)|(?:requested|wanted) (?:page|entry|article)"
-    r"|went wrong|oops|unexpected error|internal error|try again|retry|come back (?:in|later|soon)|reload in|slow down|rate limit|too many|unusual traffic|not allowed|access denied|forbidden|permission|log in to|sign in to|logged in"
+    r"|went wrong|oops|unexpected error|internal error|try again|retry|come back (?:in|later|soon)|reload in|slow down|rate limit|too many|unusual traffic|not allowed|access denied|forbidden|permission|insufficient|log in to|sign in to|logged in"
     r"|(?:session|connection|request)\b[^.!?\n]{0,12}\b(?:timed out|expired|reset|lost|refused|failed)|upstream|gateway|query aborted|backend|database is|read-only|temporarily|unavailable|offline|while we|maintenance|overload|(?:request|reference|incident|ray|trace)(?: id)?:? [0-9a-f]{6,}|checking (?:your|that|if)|verify(?:ing)? (?:that )?you"
-    r"|błąd|nie znaleziono|nie istnieje|usunięto|przeniesiono|brak (?:uprawnień|hasła|dostępu|strony)|odmowa|poszło nie tak|nieczynn|niedostępn|prac technicznych|przeciążeni|spróbuj|zaloguj|zbyt wiele"
-    r"|fehler|nicht gefunden|gibt es nichts|existiert nicht|gelöscht|nicht erreichbar|wartung|überlast|anmelden|verweigert|gesperrt|versuchen sie|kennung [0-9a-f]+|schiefgelaufen|schief gegangen|zu viele"
-    r"|erreur|introuvable|rien à l.adresse|n.existe p|supprimée|accès (?:refusé|interdit)|connexion requise|connectez-vous|indisponible|surcharge|réessayez|revenez|passé quelque chose|trop de requêtes"
-    r"|\berror\b|no se encontró|nada en|no existe|eliminad[oa]|acceso (?:denegado|prohibido)|mantenimiento|sobrecarga|inténtelo|vuelva|inicie sesión|no disponible|salió mal|demasiadas|permiso"
-    r"|errore|non trovata|non trovato|non esiste|niente a|nulla a|accesso (?:negato|vietato)|manutenzione|sovraccarico|riprova|torna (?:più|tra|domani)|accedi|non disponibile|andato storto|troppe richieste|permess",
+    r"|błąd|nie znaleziono|nie istnieje|usunięto|przeniesiono|brak (?:uprawnień|hasła|dostępu|strony)|niewystarczając|odmowa|poszło nie tak|nieczynn|niedostępn|prac technicznych|przeciążeni|spróbuj|zaloguj|zbyt wiele"
+    r"|fehler|nicht gefunden|gibt es nichts|existiert nicht|gelöscht|nicht erreichbar|wartung|überlast|anmelden|verweigert|gesperrt|berechtigung|unzureichend|versuchen sie|kennung [0-9a-f]+|schiefgelaufen|schief gegangen|zu viele"
+    r"|erreur|introuvable|rien à l.adresse|n.existe p|supprimée|accès (?:refusé|interdit)|insuffisant|connexion requise|connectez-vous|indisponible|surcharge|réessayez|revenez|passé quelque chose|trop de requêtes"
+    r"|\berror\b|no se encontró|nada en|no existe|eliminad[oa]|acceso (?:denegado|prohibido)|insuficiente|mantenimiento|sobrecarga|inténtelo|vuelva|inicie sesión|no disponible|salió mal|demasiadas|permiso"
+    r"|errore|non trovata|non trovato|non esiste|niente a|nulla a|accesso (?:negato|vietato)|insufficient|manutenzione|sovraccarico|riprova|torna (?:più|tra|domani)|accedi|non disponibile|andato storto|troppe richieste|permess",
     re.I,
 )
 #: Sentences that want scripts, by language.
