@@ -1,13 +1,343 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivora.functions.stem import stem_words
+from scrivora.functions.text import RANKS, clock, index_name, method_name, rank_bucket, tokenize, tokenize_blanks
+from scrivora.operators import index as ix
+from scrivora.operators.crawl import outcomes, progress
+from scrivora.operators.factors import Factors, latent_neighbours, matvec, power_factors, rmatvec, vector_norms
+from scrivora.operators.search import DECIMALS, defaulted, known_method, mean_normalized, one_query, query_vectors, top_documents, top_documents_batch
+from scrivora.session import read_table
+from scrivora.sources import articles as art
+from scrivora.sources.dumps import as_json, json_column, parse_dump, parse_extracts, parse_requests, word_list
+from scrivora.sources.pages import paragraphs, parse_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Texts of the single-query searches: raw words that are their own stems, inflected words, and words found nowhere.
+PLAIN, INFLECTED, UNKNOWN = "church tower old river", "ancient villages measured castles", "zzzunknown qqqabsent"
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.scan_articles(spark, f"{sf_dir}/articles.parquet")
+
+
+def _stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_list(read_table(spark, sf_dir, "stop_words"))
+
+
+def _index(spark: SparkSession, sf_dir: str, **options) -> ix.TextIndex:
+    return ix.TextIndex.build(_articles(spark, sf_dir), _stop_words(spark, sf_dir), **options)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DECIMALS) for c in columns})
+
+
+# Sources, sinks and filters
+
+
+def scan_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _articles(spark, sf_dir)
+
+
+def parse_dump_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = [F.regexp_replace(c, r'[<"]', "") for c in ("url", "title", "text")]
+    line = F.format_string('<doc id="%d" url="%s" title="%s">%s</doc>', "id", *bare)
+    files = _articles(spark, sf_dir).where(F.col("url").isNotNull() & F.col("title").isNotNull() & F.col("text").isNotNull()).select(line.alias("value"))
+    return parse_dump(files)
+
+
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def escaped(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: F.concat(F.lit("<p>"), escaped(p), F.lit("</p>"))), "")
+    heading = F.coalesce(F.concat(F.lit('<h1 id="firstHeading"><span>'), escaped(F.col("title")), F.lit("</span></h1>")), F.lit(""))
+    html = F.concat(F.lit("<html><head><script>var p = '</p>';</script></head><body>"), heading, F.lit('<div class="mw-parser-output x">'), body, F.lit("<div><p>nested</p></div></div></body></html>"))
+    return parse_pages(_articles(spark, sf_dir).select("id", "url", html.alias("html")))
+
+
+def parse_api_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.create_map(F.col("id").cast("string"), F.struct("title", F.col("text").alias("extract")))
+    return parse_extracts(_articles(spark, sf_dir).select(json_column(F.struct(page.alias("pages")).alias("query")).alias("value")))
+
+
+def insert_or_ignore_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.first_per_key(_articles(spark, sf_dir), "url").select("id", "url")
+
+
+def insert_new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is added when all rows with an even id are stored and the others arrive."""
+    rows = _articles(spark, sf_dir).select("id", "title", "text")
+    return art.new_rows(rows.where("id % 2 = 0"), art.with_content(rows.where("id % 2 = 1"), "text"), "title").select("id", "title")
+
+
+def drop_short_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.long_enough(_articles(spark, sf_dir)).select("id", F.length("text").alias("size"))
+
+
+def complete_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.complete(_articles(spark, sf_dir)).select("id", "title")
+
+
+def nonblank_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _articles(spark, sf_dir).where(F.col("text").isNotNull()).select("id", paragraphs().alias("text"))
+
+
+def stop_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stop_words(spark, sf_dir)
+
+
+def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(_articles(spark, sf_dir).select("id", "title", "url"))
+
+
+def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read_table(spark, sf_dir, "search_log")
+    lines = log.select("search_id", json_column(F.col("query"), F.col("row_limit").alias("limit"), F.col("method_code").alias("method")).alias("value"))
+    return parse_requests(lines).groupBy("limit", "method").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query").alias("queries"))
+
+
+# Analysis
+
+
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = tokenize(F.col("text"))
+    return _articles(spark, sf_dir).select("id", F.size(cut).cast("long").alias("tokens"), F.size(F.array_distinct(cut)).cast("long").alias("words"))
+
+
+def tokenize_blank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = tokenize_blanks(F.concat_ws(" ", "title", "text"))
+    return _articles(spark, sf_dir).select("id", F.size(cut).cast("long").alias("tokens"), F.size(F.array_distinct(cut)).cast("long").alias("words"))
+
+
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ix.without_stop_words(ix.tokens(_articles(spark, sf_dir)), _stop_words(spark, sf_dir))
+    return kept.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def porter_stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stem_words(ix.tokens(_articles(spark, sf_dir)).select("token").distinct(), "token")
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.vocabulary(_articles(spark, sf_dir), _stop_words(spark, sf_dir))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    index.ranks = RANKS
+    return index.stats().withColumn("available_k_values", F.array_join("available_k_values", ","))
+
+
+# Weights
+
+
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.term_frequencies(_articles(spark, sf_dir), _stop_words(spark, sf_dir))
+
+
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.document_frequencies(term_frequency(spark, sf_dir))
+
+
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_index(spark, sf_dir).terms, "idf")
+
+
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_weighted(spark, sf_dir), "weight")
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _index(spark, sf_dir, weighting="tf")
+    return ix.weighted(raw.postings, raw.terms)
+
+
+def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ix.norms(_weighted(spark, sf_dir)), "norm")
+
+
+def tfidf_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_index(spark, sf_dir).postings.select("id", "term", "weight"), "weight")
+
+
+def tf_relative_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_index(spark, sf_dir, relative=True).postings.select("id", "term", "weight"), "weight")
+
+
+def summed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches per article and outcome as triplets with repeated places."""
+    log = read_table(spark, sf_dir, "crawl_log").where(F.col("article_id").isNotNull())
+    return ix.summed_entries(log.select(F.col("article_id").alias("i"), F.col("outcome").alias("j"), F.lit(1.0).alias("value")))
+
+
+# Search
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return _rounded(query_vectors(one_query(index, f"{PLAIN} river"), index.terms).select("term", "weight"), "weight")
+
+
+def search_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir), PLAIN)
+
+
+def search_tfidf_raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir), INFLECTED)
+
+
+def search_tfidf_stemmed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir), INFLECTED, mode="stemmed")
+
+
+def search_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir), UNKNOWN, limit=5)
+
+
+def search_raw_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir, weighting="tf"), PLAIN, raw=True)
+
+
+def search_tf_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_index(spark, sf_dir, relative=True), INFLECTED)
+
+
+def _logged_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with an identifier divisible by 100, once each, with defaults."""
+    log = read_table(spark, sf_dir, "search_log").where(F.col("search_id") % 100 == 0).dropDuplicates(["search_id"])
+    return defaulted(log).select(F.col("search_id").alias("query_id"), "query", "row_limit")
+
+
+def search_batch_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents_batch(_index(spark, sf_dir), _logged_queries(spark, sf_dir), "stemmed")
+
+
+def score_mean_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = search_batch_ranked(spark, sf_dir).where(F.col("rank") <= 5)
+    return mean_normalized(top).select("query_id", "rank", "id", "relative_score")
+
+
+def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.cards(_articles(spark, sf_dir).withColumn("score", F.length("text") / F.lit(10000.0)).fillna(0.0, ["score"]))
+
+
+def document_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.TextIndex(_articles(spark, sf_dir), None, None)
+    return index.document(103)
+
+
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = defaulted(read_table(spark, sf_dir, "search_log"))
+    named = asked.select("row_limit", method_name(F.col("method_code")).alias("method"), known_method(F.col("method_code")).alias("known"))
+    return named.groupBy("row_limit", "method", "known").agg(F.count(F.lit(1)).alias("n"))
+
+
+def k_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("i") + 1).cast("int")
+    return read_table(spark, sf_dir, "sigma").select(k.alias("k"), rank_bucket(k).alias("bucket"), index_name(rank_bucket(k)).alias("name"))
+
+
+def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(read_table(spark, sf_dir, "crawl_log"))
+
+
+def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress(read_table(spark, sf_dir, "crawl_log"), 300_000)
+
+
+def fetch_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read_table(spark, sf_dir, "crawl_log").dropDuplicates(["fetch_id"])
+    seconds = F.floor((F.unix_micros(F.col("logged_at").cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1e6).cast("long")
+    return log.select("fetch_id", F.when(seconds >= 0, clock(seconds)).alias("delay"))
+
+
+# Linear algebra
+
+
+def _positions(postings: DataFrame) -> DataFrame:
+    return postings.select("id").distinct().select("id", (F.lit(1.0) / (F.lit(1.0) + F.col("id"))).alias("value"))
+
+
+def sparse_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = _index(spark, sf_dir).postings
+    return _rounded(matvec(postings, _positions(postings)), "value")
+
+
+def sparse_rmatvec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = _index(spark, sf_dir).postings
+    lengths = postings.select("term").distinct().select("term", (F.lit(1.0) / F.length("term")).alias("value"))
+    return _rounded(rmatvec(postings, lengths), "value")
+
+
+def power_iteration_sigma1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of Aᵀ u after two steps from the vector of ones."""
+    postings = _index(spark, sf_dir).postings
+    ones = postings.select("id").distinct().select("id", F.lit(1.0).alias("value"))
+    sigma = power_factors(postings, 1, iterations=2, tolerance=0.0, start=ones)[0][0]
+    return spark.createDataFrame([(round(sigma, DECIMALS),)], "sigma double")
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> tuple[ix.TextIndex, Factors]:
+    index = _index(spark, sf_dir)
+    return index, Factors.fit(index.postings, k=25)
+
+
+def svd_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_factors(spark, sf_dir)[1].sigma_table(spark), "sigma")
+
+
+def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir)[1].terms
+
+
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir)[1].documents
+
+
+def search_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, factors = _factors(spark, sf_dir)
+    return factors.search(index, PLAIN)
+
+
+def search_low_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, factors = _factors(spark, sf_dir)
+    return factors.search(index, PLAIN, k=10)
+
+
+def low_rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, factors = _factors(spark, sf_dir)
+    return factors.strongest_terms(index.documents.where(F.col("id") % 100 == 0).select("id"))
+
+
+def stored_vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = read_table(spark, sf_dir, "doc_vectors").where(F.col("docs_ser").isNotNull() & ~F.exists("docs_ser", F.isnan))
+    return vector_norms(clean).distinct()
+
+
+def stored_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the older build by cosine with its singular values, cut to rank 25."""
+    sigma = [r["sigma"] for r in read_table(spark, sf_dir, "sigma").orderBy("i").collect()]
+    return latent_neighbours(read_table(spark, sf_dir, "doc_vectors"), sigma, 25, 50)
+
+
+NAMES = (
+    scan_articles, parse_dump_docs, extract_pages, parse_api_extracts, insert_or_ignore_url, insert_new_articles, drop_short_articles, complete_articles, nonblank_paragraphs, stop_word_list, results_json, requests_json,
+    tokenize_counts, tokenize_blank_counts, stopword_filter, porter_stem_vocab, vocabulary, corpus_stats,
+    term_frequency, document_frequency, idf, tfidf, doc_norms, tfidf_normalized, tf_relative_tfidf, summed_entries,
+    query_vector, search_tfidf, search_tfidf_raw_words, search_tfidf_stemmed_query, search_no_match, search_raw_tf, search_tf_relative, search_batch_ranked, score_mean_normalized,
+    result_cards, document_by_id, request_defaults, k_bucket, crawl_outcomes, crawl_progress, fetch_delays,
+    sparse_matvec, sparse_rmatvec, power_iteration_sigma1, svd_sigma, term_vectors, doc_vectors, search_lsi, search_low_rank, low_rank_terms, stored_vector_norms, stored_vector_search,
+)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in NAMES}
