@@ -27,7 +27,9 @@ def without_stop_words(df: DataFrame, stop_words: DataFrame | None, column: str
 def stemmed_vocabulary(df: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """(word, stem) of the distinct tokens that are no stop words, written once so that stemming is done once per word."""
     words = without_stop_words(tokens(df).select("token").distinct(), stop_words)
-    return materialize(stem_words(words, "token"), "stems")
+    # Few bytes but much work per word: kept apart from the rule that joins small partitions.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(stem_words(words.repartition(n, "token"), "token"), "stems")
 
 
 def term_frequencies(df: DataFrame, stop_words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -107,6 +109,7 @@ class TextIndex:
             return TextIndex(documents, terms, frequencies.withColumn("weight", F.col("tf")))
         if weighting != "tfidf":
             raise ValueError(f"unknown weighting {weighting}")
+        terms = materialize(terms, "terms")
         return TextIndex(documents, terms, normalized(weighted(frequencies, terms)))
 
     def save(self, path: str) -> None:

@@ -10,6 +10,8 @@ from scrivora.functions.text import DEFAULT_LIMIT, DEFAULT_METHOD, METHODS, toke
 from scrivora.operators.index import TextIndex
 
 DECIMALS = 6
+#: Result rows that are gathered on the driver by a single-query search, at most.
+DRIVER_LIMIT = 1000
 
 
 def query_terms(queries: DataFrame, mode: str = "raw", query_col: str = "query") -> DataFrame:
@@ -48,12 +50,48 @@ def scores(vectors: DataFrame, postings: DataFrame) -> DataFrame:
 
 def top_documents(index: TextIndex, text: str, limit: int = DEFAULT_LIMIT, mode: str = "raw", raw: bool = False) -> DataFrame:
     """(score, title, url, id, text) of the best documents for one query; documents without a query word have score 0 and fill up
-    the list, ties by identifier. Only ``limit`` rows meet the documents' columns."""
+    the list, ties by identifier.
+
+    The words of the query are looked up as literals, so that a stored index reads only row groups that hold them. At most
+    ``limit`` (identifier, score) pairs reach the driver; only these rows meet the documents' columns. A limit of more than
+    :data:`DRIVER_LIMIT` is answered by joins alone.
+    """
+    if limit > DRIVER_LIMIT:
+        return _top_by_joins(index, text, limit, mode, raw)
+    asked = _asked(index, text, mode, raw)
+    best: dict[int, float] = {}
+    if asked and limit > 0:
+        weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, w in asked.items()])
+        found = index.postings.where(F.col("term").isin(list(asked))).groupBy("id").agg(F.round(F.sum(weight * F.col("weight")), DECIMALS).alias("score"))
+        best = {r["id"]: r["score"] for r in found.where(F.col("score") > 0).orderBy(F.desc("score"), "id").limit(limit).collect()}
+    if len(best) < limit:
+        # Fewer than wanted have a score, so these are all of them.
+        rest = index.documents.select("id").where(~F.col("id").isin(list(best))).orderBy("id").limit(limit - len(best))
+        best |= {r["id"]: 0.0 for r in rest.collect()}
+    score = F.coalesce(*[F.when(F.col("id") == i, F.lit(s)) for i, s in best.items()], F.lit(0.0))
+    return index.documents.where(F.col("id").isin(list(best))).select(score.alias("score"), "title", "url", "id", "text").orderBy(F.desc("score"), "id")
+
+
+def _asked(index: TextIndex, text: str, mode: str, raw: bool) -> dict[str, float]:
+    """The query's terms with their weights that are not 0."""
+    queries = one_query(index, text)
+    vectors = raw_query_vectors(queries, mode) if raw else None
+    if vectors is None:
+        terms = {r["term"]: r["n"] for r in query_terms(queries, mode).collect()}
+        idf = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(list(terms))).select("term", "idf").collect()}
+        weights = {t: terms[t] * i for t, i in idf.items()}
+        size = sum(w * w for w in weights.values()) ** 0.5
+        return {t: w / size for t, w in weights.items() if w}
+    return {r["term"]: r["weight"] for r in vectors.collect() if r["weight"]}
+
+
+def _top_by_joins(index: TextIndex, text: str, limit: int, mode: str, raw: bool) -> DataFrame:
     queries = one_query(index, text)
     vectors = raw_query_vectors(queries, mode) if raw else query_vectors(queries, index.terms, mode)
     found = scores(vectors, index.postings).select("id", "score")
     full = index.documents.select("id").join(found, "id", "left").fillna(0.0, ["score"])
-    return with_documents(full.orderBy(F.desc("score"), "id").limit(limit), index.documents)
+    best = full.orderBy(F.desc("score"), "id").limit(limit)
+    return index.documents.join(best, "id").select("score", "title", "url", "id", "text")
 
 
 def with_documents(best: DataFrame, documents: DataFrame) -> DataFrame:

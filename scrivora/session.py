@@ -78,4 +78,11 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files make fewer tasks than half of them. Only a table of a few files is
+    ever moved; a large one has more tasks than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)

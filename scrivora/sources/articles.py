@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrivora.session import spread
+
 ARTICLES = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("idf", T.DoubleType())])
 POSTINGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.DoubleType()), T.StructField("weight", T.DoubleType())])
@@ -13,7 +15,7 @@ POSTINGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("term"
 
 def scan_articles(spark: SparkSession, path: str) -> DataFrame:
     """The four article columns of a Parquet table; only these are read."""
-    return spark.read.parquet(path).select("id", "title", "url", "text")
+    return spread(spark.read.parquet(path).select("id", "title", "url", "text"))
 
 
 def scan_database(spark: SparkSession, url: str, table: str = "articles", driver: str = "org.sqlite.JDBC", bounds: tuple[int, int, int] | None = None) -> DataFrame:
