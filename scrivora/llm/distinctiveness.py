@@ -120,7 +120,7 @@ def term_distinctiveness(
         .collect()
     )
     average = max(1.0, sum(r["occurrences"] for r in levels) / max(1, n))
-    least, total = 64, 0
+    least, total = 62, 0
     for r in sorted(levels, key=lambda r: -r["level"]):
         if total + r["short"] > max_shared_terms:
             break

@@ -72,11 +72,11 @@ ERROR = re.compile(
     r"|not be found|not found|no longer (?:here|exists|available)|does not exist|nothing lives|looked everywhere|search instead|^go back|return to the (?:main|home|front)|has been (?:moved|deleted|removed|blocked|suspended)|(?:requested|wanted) (?:page|entry|article)"
     r"|went wrong|oops|unexpected error|internal error|try again|retry|come back (?:in|later|soon)|reload in|slow down|rate limit|too many|unusual traffic|not allowed|access denied|forbidden|permission|insufficient|log in to|sign in to|logged in"
     r"|(?:session|connection|request)\b[^.!?\n]{0,12}\b(?:timed out|expired|reset|lost|refused|failed)|upstream|gateway|query aborted|backend|database is|read-only|temporarily|unavailable|offline|while we|maintenance|overload|(?:request|reference|incident|ray|trace)(?: id)?:? [0-9a-f]{6,}|checking (?:your|that|if)|verify(?:ing)? (?:that )?you"
-    r"|błąd|nie znaleziono|nie istnieje|usunięto|przeniesiono|brak (?:uprawnień|hasła|dostępu|strony)|niewystarczając|odmowa|poszło nie tak|nieczynn|niedostępn|prac technicznych|przeciążeni|spróbuj|zaloguj|zbyt wiele"
-    r"|fehler|nicht gefunden|gibt es nichts|existiert nicht|gelöscht|nicht erreichbar|wartung|überlast|anmelden|verweigert|gesperrt|berechtigung|unzureichend|versuchen sie|kennung [0-9a-f]+|schiefgelaufen|schief gegangen|zu viele"
-    r"|erreur|introuvable|rien à l.adresse|n.existe p|supprimée|accès (?:refusé|interdit)|insuffisant|connexion requise|connectez-vous|indisponible|surcharge|réessayez|revenez|passé quelque chose|trop de requêtes"
-    r"|\berror\b|no se encontró|nada en|no existe|eliminad[oa]|acceso (?:denegado|prohibido)|insuficiente|mantenimiento|sobrecarga|inténtelo|vuelva|inicie sesión|no disponible|salió mal|demasiadas|permiso"
-    r"|errore|non trovata|non trovato|non esiste|niente a|nulla a|accesso (?:negato|vietato)|insufficient|manutenzione|sovraccarico|riprova|torna (?:più|tra|domani)|accedi|non disponibile|andato storto|troppe richieste|permess",
+    r"|błąd \d|(?:wewnętrzny|nieoczekiwany|krytyczny) błąd|błąd (?:wewnętrzny|nieoczekiwany|krytyczny|serwera)|nie znaleziono|nie istnieje|usunięto|przeniesiono|brak (?:uprawnień|hasła|dostępu|strony)|niewystarczając|odmowa|poszło nie tak|nieczynn|niedostępn|prac technicznych|przeciążeni|spróbuj|zaloguj|zbyt wiele"
+    r"|fehler \d|(?:interner|unerwarteter|schwerer) fehler|serverfehler|nicht gefunden|gibt es nichts|existiert nicht|gelöscht|nicht erreichbar|wartung|überlast|anmelden|verweigert|gesperrt|berechtigung|unzureichend|versuchen sie|kennung [0-9a-f]+|schiefgelaufen|schief gegangen|zu viele"
+    r"|erreur \d|erreur (?:interne|inattendue|fatale|du serveur)|introuvable|rien à l.adresse|n.existe p|supprimée|accès (?:refusé|interdit)|insuffisant|connexion requise|connectez-vous|indisponible|surcharge|réessayez|revenez|passé quelque chose|trop de requêtes"
+    r"|error \d|error (?:interno|inesperado|fatal|del servidor)|no se encontró|nada en|no existe|eliminad[oa]|acceso (?:denegado|prohibido)|insuficiente|mantenimiento|sobrecarga|inténtelo|vuelva|inicie sesión|no disponible|salió mal|demasiadas|permiso"
+    r"|errore \d|errore (?:interno|imprevisto|fatale|del server)|non trovata|non trovato|non esiste|niente a|nulla a|accesso (?:negato|vietato)|insufficient|manutenzione|sovraccarico|riprova|torna (?:più|tra|domani)|accedi|non disponibile|andato storto|troppe richieste|permess",
     re.I,
 )
 #: Sentences that want scripts, by language.
@@ -87,6 +87,7 @@ _QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|
 #: A sentence that explains templates; what it shows is no residue.
 TUTORIAL = re.compile(r"\b(?:template engine|in such templates|marker|placeholders?|syntax|is (?:later )?replaced by|stands for|example|notation|snippet)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+|\n+")
+_BRACKETED = re.compile(r"[\[(][^\[\]()\n]{0,60}[\])]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a text must hold to be looked at for the kinds of residue: linear-time automata over whole Arrow columns, which pass over most
 #: texts. Each holds whenever the finer expressions above can match, as these contain one of its words or signs.
@@ -122,10 +123,10 @@ def has_filler(text: str, latin: bool = True, stand_in: bool = True) -> bool:
     """Whether a paragraph consists mostly of filler: pseudo-Latin, one word over and over, or sentences that stand in for a text."""
     for paragraph in text.split("\n") if latin or stand_in else ():
         words = [w.lower() for w in _WORD.findall(paragraph)]
-        if len(words) >= 8 and (sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words) or len(set(words)) <= max(2, len(words) // 12)):
+        if len(words) >= 8 and (sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words) or len(set(words)) <= 2):
             return True
         if stand_in and words and FILLER.search(paragraph):
-            standing = sum(len(_WORD.findall(s)) for s in _SENTENCE.split(paragraph) if FILLER.search(s))
+            standing = sum(len(_WORD.findall(s)) for s in _SENTENCE.split(paragraph) if FILLER.search(_BRACKETED.sub(' ', s)))
             if 2 * standing >= len(words):
                 return True
     return False
@@ -180,7 +181,7 @@ def repeats_itself(text: str) -> bool:
     """Whether a paragraph is one or two words over and over."""
     for paragraph in text.split("\n"):
         words = paragraph.split()
-        if len(words) >= 8 and len(set(words)) <= max(2, len(words) // 12):
+        if len(words) >= 8 and len(set(words)) <= 2:
             return True
     return False
 
