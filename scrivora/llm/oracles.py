@@ -30,6 +30,14 @@ SELECT d.id AS doc_id, i.id AS item_id, count(*) AS passages, round(count(*) / a
 FROM d JOIN i USING (passage) JOIN whole ON whole.id = i.id GROUP BY d.id, i.id
 """
 
+_RANKED = """
+WITH good AS (SELECT DISTINCT doc_pos AS p, docs_ser AS v FROM doc_vectors
+              WHERE doc_pos IS NOT NULL AND len(docs_ser) = 50 AND len(list_filter(docs_ser, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(docs_ser, lambda x: x <> 0)) > 0),
+unit AS MATERIALIZED (SELECT p, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM good),
+ranked AS (SELECT a.p AS pos, b.p AS other, round(list_dot_product(a.u, b.u), 9) AS cosine FROM unit a, unit b WHERE a.p <> b.p {0}
+           QUALIFY row_number() OVER (PARTITION BY a.p ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.p) <= 5)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -44,6 +52,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, term, tf, length::BIGINT AS length, df,
                    round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS score
             FROM tf JOIN df USING (term) JOIN len USING (id), mean, size""",
+        "p3_found": _RANKED.format("") + "SELECT DISTINCT least(pos, other) AS doc_a, greatest(pos, other) AS doc_b FROM ranked WHERE cosine >= 0.9",
+        "p3_search": _RANKED.format("AND a.p % 100 = 0") + "SELECT pos, other, cosine FROM ranked",
         "p4_found": f"SELECT term, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
         "p4_frequencies": _MARKED,
         "p5_found": r"""SELECT id, CASE WHEN regexp_matches(text, '[^ \t\n\r]{1000}[^ \t\n\r]{1000}[^ \t\n\r]') THEN 'forced' ELSE 'natural' END AS cut
