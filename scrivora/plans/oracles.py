@@ -68,6 +68,7 @@ def oracle_sql() -> dict[str, str]:
         "complete_articles": "SELECT id, title FROM articles WHERE title IS NOT NULL AND text <> ''",
         "nonblank_paragraphs": "SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), chr(10)) AS text FROM articles WHERE text IS NOT NULL",
         "stop_word_list": "SELECT DISTINCT trim(word) AS word FROM stop_words WHERE trim(word) <> ''",
+        "results_json": "SELECT CAST(to_json({'id': id, 'title': title, 'url': url}) AS VARCHAR) AS json FROM articles",
         "requests_json": 'SELECT row_limit AS "limit", method_code AS method, count(*) AS n, count(DISTINCT query) AS queries FROM search_log GROUP BY row_limit, method_code',
         "tokenize_counts": f"SELECT id, len({_TEXT_TOKENS}) AS tokens, len(list_distinct({_TEXT_TOKENS})) AS words FROM articles",
         "tokenize_blank_counts": f"SELECT id, len({_BLANK_TOKENS}) AS tokens, len(list_distinct({_BLANK_TOKENS})) AS words FROM articles",
