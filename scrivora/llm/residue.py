@@ -16,32 +16,32 @@ from scrivora.llm.ascii_terms import slices
 KINDS = ("placeholder", "unfilled_value", "filler", "error_page", "script_notice")
 
 _NAME = r"[^\W\d_][\w .\-]{0,40}?"
-#: One grammar per pair of delimiters.
+#: One grammar per pair of delimiters. All gaps are bounded, so that no text costs more than its length.
 PLACEHOLDERS = tuple(
     re.compile(p)
     for p in (
-        r"\{\{\{\s*" + _NAME + r"\s*(?:\|[^{}]{0,40})?\}\}\}",
-        r"(?<!\{)\{\{\s*" + _NAME + r"\s*(?:\|[^{}]{0,40})?\}\}(?!\})",
-        r"<%[=\-]?\s*" + _NAME + r"\s*-?%>",
-        r"\{%\s*" + _NAME + r"\s*%\}",
-        r"[#$]\{\s*" + _NAME + r"\s*\}",
+        r"\{\{\{\s{0,3}" + _NAME + r"\s{0,3}(?:\|[^{}]{0,40})?\}\}\}",
+        r"(?<!\{)\{\{\s{0,3}" + _NAME + r"\s{0,3}(?:\|[^{}]{0,40})?\}\}(?!\})",
+        r"<%[=\-]?\s{0,3}" + _NAME + r"\s{0,3}-?%>",
+        r"\{%\s{0,3}" + _NAME + r"\s{0,3}%\}",
+        r"[#$]\{\s{0,3}" + _NAME + r"\s{0,3}\}",
         r"(?<![\w{$#%])\{[^\W\d_]\w{2,40}\}(?!\})",
         r"(?<![\w$])\$[^\W\d_][\w]{2,40}\$(?![\w$])",
         r"(?<![\w%])%[^\W\d_][\w]{2,40}%(?![\w%])",
-        r"<<\s*" + _NAME + r"\s*>>",
+        r"<<\s{0,3}" + _NAME + r"\s{0,3}>>",
         r"(?<!\w)__[^\W\d_][\w ]{1,40}?__(?!\w)",
-        r"@@\s*" + _NAME + r"\s*@@",
-        r"(?<![\w:])::\s*" + _NAME + r"\s*::(?![\w:])",
-        r"\[(?i:insert|your|enter|add|type|fill in)\s+" + _NAME + r"\s*\]",
-        r"\[" + _NAME + r"\s+(?:HERE|here|GOES HERE|goes here)\]",
-        r"\(" + _NAME + r"\s+(?:goes here|GOES HERE|HERE)\)",
+        r"@@\s{0,3}" + _NAME + r"\s{0,3}@@",
+        r"(?<![\w:])::\s{0,3}" + _NAME + r"\s{0,3}::(?![\w:])",
+        r"\[(?i:insert|your|enter|add|type|fill in)\s{1,3}" + _NAME + r"\s{0,3}\]",
+        r"\[" + _NAME + r"\s{1,3}(?:HERE|here|GOES HERE|goes here)\]",
+        r"\(" + _NAME + r"\s{1,3}(?:goes here|GOES HERE|HERE)\)",
     )
 )
 _OPENERS = ("{{{", "{{", "<%", "{%", "{", "{", "$", "%", "<<", "__", "@@", "::", "[", "[", "(")
 _VALUE = r"(?:undefined|null|NULL|None|nil|NaN|nan|N/A|n/a|TBD|TBA|TODO|X{3,}|x{3,}|\?{3,}|%[sdif]|\{\d\}|\$\d|#(?:REF|VALUE|NAME|NULL|NUM|DIV/0|N/A)[!?]?|\[object Object\])"
 #: A label with a value that was never filled, and a sentence whose subject and object were not.
 UNFILLED = (
-    re.compile(r"(?:^|[;.\n>|])\s*[^\W\d_][\w ]{0,24}:\s*" + _VALUE + r"\s*(?=[;.,\n|]|$)"),
+    re.compile(r"(?:^|[;.\n>|])[ \t]{0,4}[^\W\d_][\w ]{0,24}:[ \t]{0,4}" + _VALUE + r"[ \t]{0,4}(?=[;.,\n|]|$)"),
     re.compile(r"(?<!\S)(" + _VALUE + r") [^\W\d_]\w* \1(?=[.;,\n]|$)"),
 )
 #: Words of the usual pseudo-Latin filler.

@@ -16,7 +16,8 @@ PENALTY = (0.0, 1.0, 4.0, 1e9)
 #: Cost of a piece that leaves no room for the whole overlap, and weight of the squared relative size error.
 CRAMPED, IMBALANCE = 60.0, 10.0
 
-_STRONG = re.compile(r"[ \t\r]*\n[ \t\r\n]*|[.!?…]+[\"'”’»)\]]*[ \t\r]+")
+# Every run of signs or blanks is tried once, from its begin, so that long runs cost no more than their length.
+_STRONG = re.compile(r"\n[ \t\r\n]*+|(?<![.!?…])[.!?…]++[\"'”’»)\]]*+[ \t\r]++")
 _BLANKS = re.compile(r"[ \t\r\n]+")
 
 
@@ -46,7 +47,11 @@ def _word_ends(text: str, begin: int, end: int, limit: int, found: dict[int, int
     at = begin
     for m in _BLANKS.finditer(text, begin, end):
         _forced(at, m.start(), limit, step, found)
-        for p in {m.start(), m.end(), *range(m.start(), m.end(), step)}:
+        if m.end() - m.start() > 1 or m.end() - at > limit // 2:
+            places = {m.start(), m.end(), *range(m.start(), m.end(), step)}
+        else:
+            places = {m.end()}
+        for p in places:
             if 0 < p < len(text):
                 found.setdefault(p, 2)
         at = m.end()
