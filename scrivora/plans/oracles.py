@@ -97,6 +97,8 @@ def oracle_sql() -> dict[str, str]:
         "score_mean_normalized": f"{_BATCH} SELECT query_id, rank, id, round(score / avg(score) OVER (PARTITION BY query_id), 6) AS relative_score FROM batch WHERE rank <= 5",
         "result_cards": """SELECT id, coalesce(nullif(title, ''), 'Untitled Document') AS title, printf('%.4f', coalesce(length(text) / 10000.0, 0)) AS score,
             CASE WHEN coalesce(text, '') = '' THEN 'No content available' ELSE left(text, 150) || CASE WHEN length(text) > 150 THEN '...' ELSE '' END END AS snippet FROM articles""",
+        "document_card": "SELECT id, coalesce(nullif(title, ''), 'Untitled Document') AS title, '0.0000' AS score, coalesce(nullif(text, ''), 'No content available') AS text FROM articles WHERE id = 16",
+        "leading_sigma": "SELECT i, sigma FROM sigma ORDER BY sigma DESC, i LIMIT 5",
         "document_by_id": "SELECT 0.0::DOUBLE AS score, title, url, id, text FROM articles WHERE id = 103",
         "request_defaults": """SELECT coalesce(row_limit, 10) AS row_limit, CASE coalesce(method_code, 2) WHEN 2 THEN 'TF-IDF' WHEN 3 THEN 'SVD' WHEN 4 THEN 'Low-Rank SVD' ELSE 'Unknown' END AS method,
             coalesce(method_code, 2) IN (2, 3, 4) AS known, count(*) AS n FROM search_log WHERE trim(query) <> '' GROUP BY 1, 2, 3""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivora.functions.stem import stem_words
-from scrivora.functions.text import RANKS, clock, index_name, method_name, rank_bucket, tokenize, tokenize_blanks
+from scrivora.functions.text import RANKS, clock, fixed, index_name, method_name, rank_bucket, titled, tokenize, tokenize_blanks
 from scrivora.operators import index as ix
 from scrivora.operators.crawl import outcomes, progress
 from scrivora.operators.factors import Factors, latent_neighbours, matvec, power_factors, rmatvec, vector_norms
@@ -230,6 +230,16 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.cards(_articles(spark, sf_dir).withColumn("score", F.length("text") / F.lit(10000.0)).fillna(0.0, ["score"]))
 
 
+def document_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.TextIndex(_articles(spark, sf_dir), None, None)
+    return index.document(16).select("id", titled(F.col("title")).alias("title"), fixed(F.col("score")).alias("score"), F.coalesce(F.nullif("text", F.lit("")), F.lit("No content available")).alias("text"))
+
+
+def leading_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest stored singular values."""
+    return read_table(spark, sf_dir, "sigma").orderBy(F.desc("sigma"), "i").limit(5)
+
+
 def document_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ix.TextIndex(_articles(spark, sf_dir), None, None)
     return index.document(103)
@@ -334,7 +344,7 @@ NAMES = (
     tokenize_counts, tokenize_blank_counts, stopword_filter, porter_stem_vocab, vocabulary, corpus_stats,
     term_frequency, document_frequency, idf, tfidf, doc_norms, tfidf_normalized, tf_relative_tfidf, summed_entries,
     query_vector, search_tfidf, search_tfidf_raw_words, search_tfidf_stemmed_query, search_no_match, search_raw_tf, search_tf_relative, search_batch_ranked, score_mean_normalized,
-    result_cards, document_by_id, request_defaults, k_bucket, crawl_outcomes, crawl_progress, fetch_delays,
+    result_cards, document_card, document_by_id, leading_sigma, request_defaults, k_bucket, crawl_outcomes, crawl_progress, fetch_delays,
     sparse_matvec, sparse_rmatvec, power_iteration_sigma1, svd_sigma, term_vectors, doc_vectors, search_lsi, search_low_rank, low_rank_terms, stored_vector_norms, stored_vector_search,
 )
 

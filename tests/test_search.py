@@ -66,6 +66,14 @@ def test_mean_normalized(spark, table):
     assert rows(got.select("query_id", "relative_score")) == [(1, 0.333333), (1, 1.0), (1, 1.666667), (2, None)]
 
 
+def test_mean_normalized_published_scores(table):
+    # Two queries' best five scores without and with idf, each divided by their mean.
+    scores = [(2, s) for s in (99.0, 86.0, 84.0, 73.0, 72.0)] + [(4, s) for s in (0.8091, 0.8004, 0.4201, 0.2770, 0.2167)]
+    got = rows(se.mean_normalized(table(scores, "query_id int, score double")))
+    assert [r for _, _, r in got if r is not None][:5] == [round(s / 82.8, 6) for s in (72.0, 73.0, 84.0, 86.0, 99.0)]
+    assert sum(r for q, _, r in got if q == 4) == pytest.approx(5.0, abs=1e-5)
+
+
 def test_document_and_cards(index):
     assert tuple(index.document(3).head())[:4] == (0.0, "t3", "u3", 3)
     assert index.document(99).count() == 0
