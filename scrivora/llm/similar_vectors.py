@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from scrivora.session import materialize
 SAMPLE = 65_536
 #: Vectors a cell should hold, and the most cells there are; bounds the centres sent to executors (4 MB for 50 numbers).
 CELL, MAX_CELLS = 512, 16_384
-#: Pairs of one group of a cell; a cell with more is dealt with in several groups.
-GROUP_PAIRS = 40_000_000
+#: Cells whose vectors are dealt with in one group: a query is sent once to a group of neighbouring cells, not to each of its cells.
+GROUP_CELLS = 16
+#: Queries of one group at most, about; those of a fuller one are dealt out to several that hold the same vectors.
+GROUP_QUERIES = 200_000
 #: Query vectors of one block of :meth:`VectorIndex.search`; bounds what is broadcast (13 MB for 50 numbers).
 QUERY_BLOCK = 65_536
 #: Standard deviations that an estimate may be below the truth before a neighbour is lost.
@@ -158,7 +161,7 @@ class VectorIndex:
     * :meth:`neighbours` finds the k nearest of every vector. Representatives are assigned to the nearest cell centre (fitted on a
       bounded sample, by default one cell per 512 vectors) and sought in the ``probes`` nearest cells. In a cell, one-bit
       codes of the rotated rest estimate all inner products; only vectors whose upper bound reaches the k-th lower bound
-      (and the wanted least cosine) are compared exactly. A cell too full for one group is dealt with in several.
+      (and the wanted least cosine) are compared exactly. Neighbouring cells form a group, to which a query is sent once.
     * :meth:`search` answers a stated set of queries against all vectors, in blocks of queries, through the same codes.
 
     Defined cases: vectors that are null, of another length, all zero, or hold null, NaN or infinite numbers, and null positions, take no part; a
@@ -191,41 +194,61 @@ class VectorIndex:
     def neighbours(self, probes: int = 8, least: float = -1.0) -> DataFrame:
         """(rep, other, cosine) among representatives: of each the k nearest with a cosine of at least ``least``."""
         centres = self._centres()
-        shared = self.spark.sparkContext.broadcast(centres)
+        areas = _fit_cells(centres, max(1, len(centres) // GROUP_CELLS), self.seed) if len(centres) else centres
+        area_of = (centres @ areas.T).argmax(axis=1).astype(np.int32) if len(centres) else np.zeros(0, np.int32)
+        shared = self.spark.sparkContext.broadcast((centres, area_of))
         dim, k, seed, reach = self.dim, self.k, self.seed, min(probes, max(1, len(centres)))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, area_of = shared.value
             for batch in batches:
                 for begin in range(0, len(batch), 4096):
                     part = batch.slice(begin, 4096)
                     unit = _unit(np.asarray(part.column(1).flatten()).reshape(-1, dim))
-                    near = unit.astype(np.float32) @ shared.value.T
+                    near = unit.astype(np.float32) @ centres.T
                     top = np.argpartition(-near, reach - 1, axis=1)[:, :reach]
                     home = np.take_along_axis(top, np.take_along_axis(near, top, axis=1).argmax(axis=1)[:, None], axis=1)[:, 0]
                     raw = unit.tobytes()
                     size = dim * 8
                     vectors = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
                     cells = pa.ListArray.from_arrays(np.arange(0, top.size + 1, reach, dtype=np.int32), pa.array(top.ravel().astype(np.int32)))
-                    yield pa.record_batch([part.column(0), pa.array(home.astype(np.int32)), cells, vectors], names=["rep", "home", "cells", "unit"])
-
-        placed = materialize(self.reps.mapInArrow(assign, "rep long, home int, cells array<int>, unit binary"), "vector-cells")
-        data_n = placed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n_data"))
-        query_n = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_query"))
-        # One row per cell, at most MAX_CELLS of them.
-        parts = data_n.join(query_n, "cell").select("cell", F.ceil(F.col("n_data") * F.col("n_query") / GROUP_PAIRS).cast("int").alias("parts"))
+                    met = np.sort(area_of[top], axis=1)
+                    fresh = np.c_[np.ones(len(met), bool), met[:, 1:] != met[:, :-1]]
+                    met = pa.ListArray.from_arrays(np.r_[0, np.cumsum(fresh.sum(axis=1))].astype(np.int32), pa.array(met[fresh]))
+                    yield pa.record_batch([part.column(0), pa.array(home.astype(np.int32)), pa.array(area_of[home]), cells, met, vectors], names=["rep", "home", "area", "cells", "areas", "unit"])
+
+        placed = materialize(self.reps.mapInArrow(assign, "rep long, home int, area int, cells array<int>, areas array<int>, unit binary"), "vector-cells")
+        # One row per area, of which there are at most MAX_CELLS / GROUP_CELLS.
+        parts = placed.select(F.explode("areas").alias("at")).groupBy("at").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("parts"))
         parts = F.broadcast(materialize(parts, "vector-parts"))
-        data = placed.join(parts, placed["home"] == parts["cell"]).select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "rep", "unit")
-        asks = placed.select(F.explode("cells").alias("cell"), "rep", "unit").join(parts, "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "rep", "unit")
+        none = F.lit(None).cast("array<int>").alias("cells")
+        data = placed.join(parts, placed["area"] == parts["at"]).select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", none, "rep", "unit")
+        asks = placed.select(F.explode("areas").alias("at"), "cells", "rep", "unit").join(parts, "at")
+        asks = asks.select("at", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(-1).alias("home"), "cells", "rep", "unit")
 
         def within(key: tuple, table: pa.Table) -> pa.Table:
-            cell = key[0].as_py()
-            asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
-            ids = table.column("rep").to_numpy()
+            centres, area_of = shared.value
+            table = table.combine_chunks()
+            home, ids = table.column("home").to_numpy(), table.column("rep").to_numpy()
             unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-            query, other, cosine = nearest(unit[asks], ids[asks], unit[~asks], ids[~asks], k, least, shared.value[cell].astype(np.float64), _rotation(dim, seed))
+            cells = table.column("cells").chunk(0) if table.column("cells").num_chunks else pa.array([], pa.list_(pa.int32()))
+            asked, asker = np.asarray(cells.flatten()), np.asarray(pc.list_parent_indices(cells)).astype(np.int64)
+            here = area_of[asked] == key[0].as_py()
+            asked, asker = asked[here], asker[here]
+            order, member = np.argsort(asked, kind="stable"), np.argsort(home, kind="stable")
+            rotation = _rotation(dim, seed)
+            out = []
+            for cell in np.unique(home[home >= 0]).tolist():
+                mine = member[np.searchsorted(home[member], cell) : np.searchsorted(home[member], cell, "right")]
+                theirs = asker[order[np.searchsorted(asked[order], cell) : np.searchsorted(asked[order], cell, "right")]]
+                if len(theirs):
+                    out.append(nearest(unit[theirs], ids[theirs], unit[mine], ids[mine], k, least, centres[cell].astype(np.float64), rotation))
+            if not out:
+                return pa.table({"rep": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+            query, other, cosine = best_of(*(np.concatenate(x) for x in zip(*out)), k)
             return pa.table({"rep": query, "other": other, "cosine": cosine})
 
-        found = data.unionByName(asks).groupBy("cell", "part").applyInArrow(within, "rep long, other long, cosine double")
+        found = data.unionByName(asks).groupBy("at", "part").applyInArrow(within, "rep long, other long, cosine double")
         best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
         return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "cosine")
 
