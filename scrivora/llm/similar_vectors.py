@@ -179,7 +179,7 @@ class VectorIndex:
         heads = heads.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("heads"))
         self.groups = materialize(heads.withColumn("rep", F.col("heads")[0]), "vector-groups")
         reps = self.rows.join(self.groups.select("key", F.col("rep").alias("pos")), ["key", "pos"], "left_semi")
-        self.reps = materialize(reps.dropDuplicates(["pos"]).select(F.col("pos").alias("rep"), "v"), "vector-reps")
+        self.reps = materialize(reps.dropDuplicates(["key", "pos"]).select(F.col("pos").alias("rep"), "v"), "vector-reps")
 
     def _centres(self) -> np.ndarray:
         n = self.reps.count()
