@@ -145,4 +145,6 @@ class SourceMix:
         fate = F.when(need <= F.col("have"), "enough").when(need <= F.col("have") * F.col("max_repeats"), "repeat").otherwise("short")
         chosen = self.selection().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("selected"), F.max("copies").alias("most_copies"))
         full = self._plan_frame().join(chosen, "source", "left").fillna(0, ["selected", "most_copies"])
-        return full.select("source", "target_share", "max_repeats", need.alias("need"), "have", "seats", "selected", F.round(F.col("selected") / F.lit(float(max(1, self.total))), 6).alias("reached_share"), "most_copies", fate.alias("fate"))
+        # Written, so that whoever reads a few columns of it still gets them from a selection that was made.
+        report = full.select("source", "target_share", "max_repeats", need.alias("need"), "have", "seats", "selected", F.round(F.col("selected") / F.lit(float(max(1, self.total))), 6).alias("reached_share"), "most_copies", fate.alias("fate"))
+        return materialize(report, "mix-report")
