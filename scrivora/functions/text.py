@@ -67,3 +67,8 @@ def rank_bucket(k: Column) -> Column:
 
 def index_name(k: Column) -> Column:
     return F.concat(F.lit("svd_k="), k.cast("string"))
+
+
+def index_folder(k: int) -> str:
+    """The folder of the factors of rank ``k``."""
+    return f"svd_k={k}"

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrivora.functions.text import RANKS, index_folder
 from scrivora.functions.vectors import cosine, norm, truncated
+from scrivora.operators.blocks import BlockedMatrix, leading_triplets
 from scrivora.operators.index import TextIndex
 from scrivora.operators.search import DECIMALS, one_query, query_vectors, with_documents
-from scrivora.session import materialize
+from scrivora.operators.skew import join_salted
+from scrivora.session import materialize, release
+from scrivora.sources.articles import exists
 
 #: Singular values up to this are dropped; entries of a low-rank matrix up to the other count as 0.
 LEAST_SIGMA, LEAST_ENTRY = 1e-6, 1e-10
-#: Documents whose entries are made at once by :meth:`Factors.strongest_terms`.
+#: Documents of a block and terms of a part in :meth:`Factors.low_rank_matrix`, about; a task holds their product (32 MB).
 BLOCK = 2048
 
 
@@ -26,56 +29,9 @@ def matvec(postings: DataFrame, x: DataFrame) -> DataFrame:
     return postings.join(x, "id").groupBy("term").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
-def rmatvec(postings: DataFrame, y: DataFrame) -> DataFrame:
-    """(id, value) = Aᵀ y for y as (term, value)."""
-    return postings.join(y, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-
-
-def _applied(postings: DataFrame, block: DataFrame, key: str, other: str, width: int) -> DataFrame:
-    """(other, y) = the matrix, or its transpose, times a block of ``width`` columns held as (key, y). Sums are partial before
-    the shuffle; nothing is broadcast and nothing dense reaches the driver."""
-    sums = [F.sum(F.col("weight") * F.col("y")[i]).alias(f"s{i}") for i in range(width)]
-    return postings.join(block, key).groupBy(other).agg(*sums).select(other, F.array(*[f"s{i}" for i in range(width)]).alias("y"))
-
-
-def _rows(batch: pa.RecordBatch, column: int = 1) -> np.ndarray:
-    flat = np.asarray(batch.column(column).flatten())
-    return flat.reshape(len(batch), -1)
-
-
-def _gram(block: DataFrame, width: int) -> np.ndarray:
-    """yᵀ y summed over all rows: each task sends one width x width matrix."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            if len(batch):
-                y = _rows(batch, 0)
-                total += y.T @ y
-        yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
-
-    parts = block.select("y").mapInArrow(part, "g array<double>")
-    return np.asarray([r["g"] for r in parts.toLocalIterator()]).sum(axis=0).reshape(width, width)
-
-
-def _turned(block: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """(key, y · matrix)"""
-
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                y = _rows(batch) @ matrix
-                out = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), pa.array(y.ravel()))
-                yield pa.record_batch([batch.column(0), out], names=[key, "y"])
-
-    return block.select(key, "y").mapInArrow(turn, f"`{key}` {block.schema[key].dataType.simpleString()}, y array<double>")
-
-
-def _whitening(gram: np.ndarray) -> np.ndarray:
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > max(values.max(), 0) * 1e-14
-    keep &= values > 0
-    return vectors[:, keep] / np.sqrt(values[keep])
+def rmatvec(postings: DataFrame, y: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(id, value) = Aᵀ y for y as (term, value); ``hot`` are the terms whose postings are split (:meth:`TextIndex.hot`)."""
+    return join_salted(postings, y, "term", hot).groupBy("id").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
 def _signed(postings: DataFrame, key: str, width: int, seed: int) -> DataFrame:
@@ -137,41 +93,27 @@ class Factors:
     documents: DataFrame
 
     @staticmethod
-    def fit(postings: DataFrame, k: int = 25, oversampling: int = 10, passes: int = 5, seed: int = 42) -> Factors:
-        """Randomised subspace iteration on the smaller side.
+    def fit(postings: DataFrame, k: int = 25, oversampling: int = 25, tolerance: float = 1e-8, seed: int = 42, most_products: int = 60) -> Factors:
+        """The ``k`` leading triplets by a block Krylov method (:func:`~scrivora.operators.blocks.leading_triplets`), to a residual
+        |A v - sigma u| of at most ``tolerance`` · sigma, by which sigma itself is right to about its square.
 
-        A block of k + ``oversampling`` columns is taken through A and Aᵀ by joins and sums; between passes it is
-        orthonormalised by its Gram matrix, the only thing that reaches the driver. Each pass writes its block to the shared
-        folder, which cuts the lineage. Postings without weight are left out; none at all is an error.
+        Postings without weight are left out; none at all is an error, as is a residual above ``tolerance`` after ``most_products`` products.
         """
-        postings = materialize(postings.where(F.col("weight") != 0).select("id", "term", "weight"), "matrix")
-        n = postings.agg(F.countDistinct("id").alias("d"), F.countDistinct("term").alias("t")).head()
-        if not n["d"]:
-            raise ValueError("the matrix is empty")
-        key, other = ("id", "term") if n["d"] <= n["t"] else ("term", "id")
-        width = min(k + oversampling, n["d"], n["t"])
-        block = materialize(_signed(postings, key, width, seed), "block")
-        for _ in range(passes):
-            white = _whitening(_gram(block, width))
-            block, width = _turned(block, key, white), white.shape[1]
-            block = materialize(_applied(postings, _applied(postings, block, key, other, width), other, key, width), "block")
-        white = _whitening(_gram(block, width))
-        width = white.shape[1]
-        block = materialize(_turned(block, key, white), "block")
-        image = materialize(_applied(postings, block, key, other, width), "block")
-        values, vectors = np.linalg.eigh(_gram(image, width))
-        order = np.argsort(-values)[:k]
-        sigma = np.sqrt(np.maximum(values[order], 0))
-        order, sigma = order[sigma > LEAST_SIGMA], sigma[sigma > LEAST_SIGMA]
+        matrix = BlockedMatrix(postings, seed)
+        sigma, state, residual = leading_triplets(matrix, k, oversampling, tolerance, seed, most_products)
+        if residual > tolerance:
+            raise ValueError(f"no convergence: the residual is {residual}")
+        sigma = sigma[sigma > max(LEAST_SIGMA, sigma.max(initial=0.0) * 1e-7)]
         if not len(sigma):
             raise ValueError("no singular value is large enough")
-        turn = vectors[:, order]
-        near, far = _turned(block, key, turn), _turned(image, other, turn)
-        if key == "id":
-            documents, terms = _turned(block, key, turn * sigma), _turned(image, other, turn / sigma)
-        else:
-            terms, documents = near, far
-        return Factors(sigma, terms.withColumnRenamed("y", "u"), documents.withColumnRenamed("y", "v"))
+        rank = len(sigma)
+        whole, state = state, matrix.turned(state, np.eye(min(k, matrix.n_documents, matrix.n_terms))[:, :rank])
+        release(whole)
+        terms, documents = matrix.terms(state, rank), matrix.documents(state, rank)
+        fitted = Factors(sigma, materialize(terms.withColumnRenamed("y", "u"), "term-vectors"), materialize(documents.withColumnRenamed("y", "v"), "document-vectors"))
+        release(state)
+        matrix.close()
+        return fitted
 
     @property
     def rank(self) -> int:
@@ -196,56 +138,105 @@ class Factors:
         sums = [F.coalesce(F.sum(F.col("weight") * F.col("u")[i]), F.lit(0.0)) for i in range(k)]
         return [float(x) for x in self.terms.join(F.broadcast(vectors), "term").agg(*sums).head()]
 
+    def truncated(self, k: int) -> Factors:
+        """The first ``k`` triplets."""
+        return Factors(self.sigma[:k], self.terms.select("term", truncated(F.col("u"), k).alias("u")), self.documents.select("id", truncated(F.col("v"), k).alias("v")))
+
+    @staticmethod
+    def save_ranks(postings: DataFrame, path: str, ranks: tuple[int, ...] = RANKS) -> None:
+        """One folder ``svd_k=…`` per rank under ``path``, all cut from one factorisation."""
+        fitted = Factors.fit(postings, max(ranks))
+        for k in ranks:
+            fitted.truncated(k).save(f"{path}/{index_folder(k)}")
+        release(fitted.terms, fitted.documents)
+
+    @staticmethod
+    def load_or_build(postings: DataFrame, path: str, k: int = 25, ranks: tuple[int, ...] = RANKS) -> Factors:
+        """The stored factors of the least rank that holds ``k``; all ranks are built if that one is missing."""
+        rank = min((r for r in ranks if r >= k), default=max(ranks))
+        folder = f"{path}/{index_folder(rank)}"
+        if not exists(postings.sparkSession, f"{folder}/sigma"):
+            Factors.save_ranks(postings, path, ranks)
+        return Factors.load(postings.sparkSession, folder)
+
     def search(self, index: TextIndex, text: str, limit: int = 10, k: int | None = None, mode: str = "raw") -> DataFrame:
-        """(score, title, url, id, text) by cosine in the latent space. With ``k`` only the first k numbers count (at most the rank),
-        and a query without known words gives no rows; without ``k`` it gives documents of score 0."""
+        """(score, title, url, id, text), best first, by cosine in the latent space. With ``k`` only the first k numbers count (at most the
+        rank), and a query without known words gives no rows; without ``k`` it gives documents of score 0."""
         cut = self.rank if k is None else max(1, min(k, self.rank))
         asked = self.fold(query_vectors(one_query(index, text), index.terms, mode).select("term", "weight"), cut)
         query = F.array(*map(F.lit, asked))
         score = F.round(cosine(truncated(F.col("v"), cut), query, 1e-12 if k is None else 1e-10), DECIMALS)
         if k is not None and float(np.linalg.norm(asked)) <= 1e-10:
-            return with_documents(index.documents.select("id", F.lit(0.0).alias("score")).limit(0), index.documents)
+            return with_documents(index.documents.select("id", F.lit(0.0).alias("score")).limit(0), index.documents, 0)
         found = self.documents.select("id", score.alias("score"))
         full = index.documents.select("id").join(found, "id", "left").fillna(0.0, ["score"])
-        return with_documents(full.orderBy(F.desc("score"), "id").limit(limit), index.documents)
+        return with_documents(full.orderBy(F.desc("score"), "id").limit(limit), index.documents, limit)
 
-    def strongest_terms(self, documents: DataFrame, k: int | None = None, limit: int = 20) -> DataFrame:
-        """(id, term, weight): of the stated documents, the ``limit`` largest entries of their columns of the low-rank matrix U_k Σ_k V_kᵀ,
-        normalised per document. Documents are taken in blocks against all terms; the matrix is never stored."""
+    def low_rank_matrix(self, documents: DataFrame, k: int | None = None) -> DataFrame:
+        """(id, term, weight): the stated documents' columns of the low-rank matrix U_k Σ_k V_kᵀ, each normalised to length 1. What a
+        triplet adds to an entry counts only above 1e-10; entries to which nothing is added are left out.
+
+        Documents are dealt out to blocks and terms to parts, and every pair of block and part is one task's work, so neither
+        side is gathered. The result has up to one row per stated document and term; state as many as are wanted.
+        """
         cut = self.rank if k is None else max(1, min(k, self.rank))
-        asked = self.documents.join(documents.select("id").distinct(), "id", "left_semi").select("id", truncated(F.col("v"), cut).alias("v"))
-        n = asked.count()
-        blocks = max(1, -(-n // BLOCK))
-        asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "asked")
-        found = None
-        for b in range(blocks):
-            rows = asked.where(F.col("block") == b).select("id", "v").toArrow()
-            part = self._entries(rows, cut, limit)
-            found = part if found is None else found.unionByName(part)
-        from pyspark.sql import Window
-
-        best = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("id", "term", "weight")
-
-    def _entries(self, block: pa.Table, cut: int, limit: int) -> DataFrame:
-        ids = block.column("id").to_numpy()
-        v = np.asarray(block.column("v").combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, cut))
-        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        shared = self.terms.sparkSession.sparkContext.broadcast((ids, np.where(size > 0, v / np.maximum(size, 1e-300), 0)))
-
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, v = shared.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                values = v @ _rows(batch)[:, :cut].T
-                keep = min(limit, values.shape[1])
-                top = np.argpartition(-values, keep - 1, axis=1)[:, :keep]
-                weight = np.take_along_axis(values, top, axis=1).ravel()
-                good = np.abs(weight) > LEAST_ENTRY
-                yield pa.record_batch([pa.array(np.repeat(ids, keep)[good]), batch.column(0).take(pa.array(top.ravel()[good])), pa.array(np.round(weight[good], DECIMALS))], names=["id", "term", "weight"])
-
-        return self.terms.select("term", "u").mapInArrow(entries, "id long, term string, weight double")
+        asked = materialize(self.documents.join(documents.select("id").distinct(), "id", "left_semi").select("id", truncated(F.col("v"), cut).alias("x")), "asked")
+        blocks, parts = (max(1, -(-n // BLOCK)) for n in (asked.count(), self.terms.count()))
+        number = {"block": blocks, "part": parts}
+
+        def dealt(df: DataFrame, own: str, other: str, key: str, n: int) -> DataFrame:
+            place = F.pmod(F.xxhash64(key), F.lit(number[own])).cast("int").alias(own)
+            return df.select(place, F.explode(F.sequence(F.lit(0), F.lit(number[other] - 1))).alias(other), key, "x").groupBy("block", "part")
+
+        left = dealt(asked, "block", "part", "id", blocks)
+        right = dealt(self.terms.select("term", truncated(F.col("u"), cut).alias("x")), "part", "block", "term", parts)
+
+        def entries(key: tuple, docs: pa.Table, terms: pa.Table) -> pa.Table:
+            v, u = (np.asarray(t.column("x").combine_chunks().flatten()).reshape(-1, cut) for t in (docs, terms))
+            total, held = np.zeros((len(v), len(u))), np.zeros((len(v), len(u)), bool)
+            for i in range(cut):
+                part = np.outer(v[:, i], u[:, i])
+                counts = np.abs(part) > LEAST_ENTRY
+                total += np.where(counts, part, 0.0)
+                held |= counts
+            i, j = np.nonzero(held)
+            return pa.table({"id": docs.column("id").combine_chunks().take(pa.array(i)), "term": terms.column("term").combine_chunks().take(pa.array(j)), "weight": pa.array(total[i, j])})
+
+        found = materialize(left.cogroup(right).applyInArrow(entries, "id long, term string, weight double"), "low-rank")
+        size = found.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size")).where(F.col("size") > 0)
+        return found.join(size, "id").select("id", "term", F.round(F.col("weight") / F.col("size"), DECIMALS).alias("weight"))
+
+    def strongest_terms(self, documents: DataFrame, k: int | None = None, limit: int = 20) -> DataFrame:
+        """(id, term, weight): of the stated documents the ``limit`` entries of :meth:`low_rank_matrix` that are largest by amount."""
+        best = Window.partitionBy("id").orderBy(F.desc(F.abs("weight")), "term")
+        return self.low_rank_matrix(documents, k).withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("id", "term", "weight")
+
+
+def gram_matrix(postings: DataFrame, documents: DataFrame) -> DataFrame:
+    """(i, j, value): inner products of the stated documents' columns, those without a common term left out."""
+    mine = postings.join(documents.select("id").distinct(), "id", "left_semi")
+    mine = materialize(mine.select("id", "term", "weight"), "stated")
+    other = mine.select(F.col("id").alias("j"), "term", F.col("weight").alias("w"))
+    return mine.join(other, "term").groupBy(F.col("id").alias("i"), "j").agg(F.sum(F.col("weight") * F.col("w")).alias("value"))
+
+
+def residuals(factors: Factors, postings: DataFrame) -> list[tuple[int, float, float]]:
+    """(i, |A v - sigma u| / sigma, |Aᵀ u - sigma v| / sigma) of every triplet, from the postings themselves."""
+    k = factors.rank
+    sums = [F.sum(F.col("weight") * F.col("x")[i]) for i in range(k)]
+    s = F.array(*[F.lit(float(x)) for x in factors.sigma])
+
+    def worst(side: DataFrame, key: str, own: DataFrame, wanted) -> list[float]:
+        image = side.groupBy(key).agg(F.array(*sums).alias("y")).join(own, key, "full_outer")
+        zero = F.array(*[F.lit(0.0)] * k)
+        gap = F.zip_with(F.coalesce("y", zero), F.coalesce(wanted, zero), lambda a, b: (a - b) * (a - b))
+        return list(image.select(gap.alias("g")).agg(*[F.sqrt(F.sum(F.col("g")[i])) for i in range(k)]).head())
+
+    docs, terms = factors.documents.select("id", "v"), factors.terms.select("term", "u")
+    # The document vectors hold sigma v, so A (sigma v) is compared with sigma² u, and Aᵀ u with sigma v.
+    left = worst(postings.join(docs.withColumnRenamed("v", "x"), "id"), "term", terms, F.zip_with(F.zip_with("u", s, lambda a, b: a * b), s, lambda a, b: a * b))
+    right = worst(postings.join(terms.withColumnRenamed("u", "x"), "term"), "id", docs, F.col("v"))
+    return [(i, left[i] / float(x) ** 2, right[i] / float(x)) for i, x in enumerate(factors.sigma)]
 
 
 def latent_neighbours(vectors: DataFrame, query: list[float], k: int, limit: int, id_col: str = "doc_pos", vector_col: str = "docs_ser") -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivora.functions.stem import stem_words
-from scrivora.functions.text import snippet, title_and_text, titled, tokenize, tokenize_blanks
+from scrivora.functions.text import RANKS, index_folder, snippet, title_and_text, titled, tokenize, tokenize_blanks
 from scrivora.operators.numbering import number_rows
-from scrivora.session import materialize
+from scrivora.operators.skew import hot_keys, join_salted
+from scrivora.session import materialize, release
 from scrivora.sources.articles import exists
 
 
@@ -59,9 +60,10 @@ def inverse_frequencies(df: DataFrame, documents: int) -> DataFrame:
     return df.withColumn("idf", F.when(F.col("df") > 0, F.log(F.lit(float(documents)) / F.col("df"))).otherwise(F.lit(0.0)))
 
 
-def weighted(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, term, tf, weight) with weight = tf * idf; terms of all documents keep their weight 0."""
-    return frequencies.join(idf.select("term", "idf"), "term").select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+def weighted(frequencies: DataFrame, idf: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, weight) with weight = tf * idf; terms of all documents keep their weight 0. ``hot`` are the terms of so many documents that
+    their rows are split (:func:`~scrivora.operators.skew.hot_keys`)."""
+    return join_salted(frequencies, idf.select("term", "idf"), "term", hot).select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def norms(weights: DataFrame) -> DataFrame:
@@ -70,8 +72,8 @@ def norms(weights: DataFrame) -> DataFrame:
 
 def normalized(weights: DataFrame) -> DataFrame:
     """Weights divided by the norm of their document; documents of norm 0 are left out."""
-    size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return weights.withColumn("_norm", size).where(F.col("_norm") > 0).withColumn("weight", F.col("weight") / F.col("_norm")).drop("_norm")
+    size = norms(weights).where(F.col("norm") > 0)
+    return weights.join(size, "id").withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
 
 
 def summed_entries(entries: DataFrame) -> DataFrame:
@@ -110,7 +112,19 @@ class TextIndex:
         if weighting != "tfidf":
             raise ValueError(f"unknown weighting {weighting}")
         terms = materialize(terms, "terms")
-        return TextIndex(documents, terms, normalized(weighted(frequencies, terms)))
+        weights = materialize(weighted(frequencies, terms, hot_keys(terms, "term", "df")), "weights")
+        release(frequencies)
+        return TextIndex(documents, terms, normalized(weights))
+
+    @staticmethod
+    def of(documents: DataFrame, frequencies: DataFrame, count: int | None = None) -> TextIndex:
+        """An index over given (id, term, tf), for example of a stated vocabulary."""
+        terms = materialize(inverse_frequencies(document_frequencies(frequencies), documents.count() if count is None else count), "terms")
+        return TextIndex(documents, terms, normalized(materialize(weighted(frequencies, terms, hot_keys(terms, "term", "df")), "weights")))
+
+    def hot(self) -> DataFrame | None:
+        """The terms of so many documents that joins on the term split their postings."""
+        return hot_keys(self.terms, "term", "df")
 
     def save(self, path: str) -> None:
         """Write the index as Parquet, postings split by range of terms and sorted, so that a search reads few row groups."""
@@ -121,7 +135,7 @@ class TextIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
         read = {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "terms", "postings")}
-        return TextIndex(**read)
+        return TextIndex(**read, ranks=tuple(k for k in RANKS if exists(spark, f"{path}/{index_folder(k)}/sigma")))
 
     @staticmethod
     def load_or_build(spark: SparkSession, path: str, documents: DataFrame, stop_words: DataFrame | None = None) -> TextIndex:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scrivora.functions.stem import stem_words
 from scrivora.functions.text import DEFAULT_LIMIT, DEFAULT_METHOD, METHODS, tokenize
 from scrivora.operators.index import TextIndex
+from scrivora.operators.skew import HOT_ROWS, hot_keys, join_salted
+from scrivora.session import materialize
 
 DECIMALS = 6
 #: Result rows that are gathered on the driver by a single-query search, at most.
@@ -42,10 +44,11 @@ def raw_query_vectors(queries: DataFrame, mode: str = "raw") -> DataFrame:
     return query_terms(queries, mode).select("query_id", "term", F.col("n").cast("double").alias("weight"))
 
 
-def scores(vectors: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, id, score): inner products of queries and documents that share a term. Terms of weight 0 are not looked up."""
+def scores(vectors: DataFrame, postings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score): inner products of queries and documents that share a term. Terms of weight 0 are not looked up; the postings of
+    ``hot`` terms are split."""
     asked = vectors.where(F.col("weight") != 0).select("query_id", "term", F.col("weight").alias("asked"))
-    return postings.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), DECIMALS).alias("score"))
+    return join_salted(postings, asked, "term", hot).groupBy("query_id", "id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), DECIMALS).alias("score"))
 
 
 def top_documents(index: TextIndex, text: str, limit: int = DEFAULT_LIMIT, mode: str = "raw", raw: bool = False) -> DataFrame:
@@ -90,23 +93,35 @@ def _top_by_joins(index: TextIndex, text: str, limit: int, mode: str, raw: bool)
     vectors = raw_query_vectors(queries, mode) if raw else query_vectors(queries, index.terms, mode)
     found = scores(vectors, index.postings).select("id", "score")
     full = index.documents.select("id").join(found, "id", "left").fillna(0.0, ["score"])
-    best = full.orderBy(F.desc("score"), "id").limit(limit)
-    return index.documents.join(best, "id").select("score", "title", "url", "id", "text")
+    return with_documents(full.orderBy(F.desc("score"), "id").limit(limit), index.documents, limit)
 
 
-def with_documents(best: DataFrame, documents: DataFrame) -> DataFrame:
-    return documents.join(F.broadcast(best), "id").select("score", "title", "url", "id", "text")
+def with_documents(best: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
+    """The best rows with their documents' columns, best first. Up to :data:`DRIVER_LIMIT` rows are broadcast; more are joined by shuffle."""
+    best = F.broadcast(best) if limit <= DRIVER_LIMIT else best
+    return documents.join(best, "id").select("score", "title", "url", "id", "text").orderBy(F.desc("score"), "id")
 
 
-def top_documents_batch(index: TextIndex, queries: DataFrame, mode: str = "raw") -> DataFrame:
+def top_documents_batch(index: TextIndex, queries: DataFrame, mode: str = "raw", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(query_id, rank, id, score) for many queries, each with its own ``row_limit`` (null: the default). Only documents that share a
-    term with a query are ranked for it. The rank is limited before the shuffle."""
-    limits = queries.select("query_id", F.coalesce("row_limit", F.lit(DEFAULT_LIMIT)).alias("row_limit"))
-    found = scores(query_vectors(queries, index.terms, mode), index.postings).where(F.col("score") > 0)
-    most = queries.agg(F.max(F.coalesce("row_limit", F.lit(DEFAULT_LIMIT)))).head()[0] or 0
+    term with a query are ranked for it.
+
+    Queries of the same words in any order, case and spacing are scored once, for the largest of their limits; the result is handed to
+    each of them. A query that very many ask for gets its result by broadcast: such queries are counted exactly, and each has at
+    least ``hot_rows`` requests and a ten-thousandth of all. The rank is limited before the shuffle.
+    """
+    words = F.array_join(F.array_sort(tokenize(F.col("query"))), " ")
+    asked = materialize(queries.select("query_id", words.alias("query"), F.coalesce("row_limit", F.lit(DEFAULT_LIMIT)).alias("row_limit")).where(F.col("query") != ""), "requests")
+    kinds = asked.groupBy("query").agg(F.max("row_limit").alias("most"), F.count(F.lit(1)).alias("n"))
+    kinds = materialize(kinds.withColumn("query_id", F.col("query")), "queries")
+    found = scores(query_vectors(kinds, index.terms, mode), index.postings, index.hot()).where(F.col("score") > 0)
+    most = kinds.agg(F.max("most")).head()[0] or 0
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= int(most))
-    return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("row_limit")).select("query_id", "rank", "id", "score")
+    lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("rows"))
+    full = join_salted(asked, lists.withColumnRenamed("query_id", "query"), "query", hot_keys(kinds, "query", "n", hot_rows), "query_id")
+    out = full.select("query_id", "row_limit", F.explode("rows").alias("r"))
+    return out.where(F.col("r.rank") <= F.col("row_limit")).select("query_id", "r.rank", "r.id", "r.score")
 
 
 def mean_normalized(results: DataFrame, by: str = "query_id", score: str = "score") -> DataFrame:

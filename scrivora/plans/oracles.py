@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scrivora.functions.stem import stem_sql
-from scrivora.plans.queries import INFLECTED, PLAIN, UNKNOWN
+from scrivora.plans.queries import INFLECTED, PLAIN, UNKNOWN, WORDS
 
 _TOKENS = "list_transform(list_filter(regexp_split_to_array(coalesce({}, ''), '[^a-zA-Z0-9]+'), lambda t: length(t) > 2), lambda t: lower(t))"
 _TEXT_TOKENS = _TOKENS.format("text")
@@ -50,16 +50,60 @@ q AS (SELECT query_id, term, weight / nullif(sqrt(sum(weight * weight) OVER (PAR
 scored AS (SELECT query_id, id, round(sum(asked * weight), 6) AS score FROM nw JOIN q USING (term) WHERE asked <> 0 GROUP BY query_id, id),
 ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scored WHERE score > 0),
 batch AS (SELECT query_id, rank, id, score FROM ranked JOIN asked USING (query_id) WHERE rank <= row_limit)"""
+_BARE = """SELECT id, t AS title, u AS url, b AS text FROM (SELECT id, regexp_replace(url, '[<"]', '', 'g') AS u, regexp_replace(title, '[<"]', '', 'g') AS t,
+            regexp_replace(text, '[<"]', '', 'g') AS b FROM articles) WHERE regexp_matches(u, '^https?://.') AND t <> '' AND b <> ''"""
+_PAGES = r"""SELECT id, url, title, p AS text FROM (SELECT id, url, title, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
+            lambda p: regexp_replace(p, '[\s\x0b\x{85}\p{Z}]+', '', 'g') <> ''), chr(10)) AS p FROM articles) WHERE title IS NOT NULL AND p <> ''"""
+
+
+def _triplets(k: int) -> str:
+    """The ``k`` leading eigenpairs of the 8 x 8 matrix of the stated words: the matrix is squared until it is the projection on its
+    leading vector, whose part is taken away for the next. ``p1`` and so on hold the projections, ``sigma`` the singular values."""
+    words = f"[{', '.join(map(repr, sorted(WORDS)))}]"
+    steps = [f"""{_TF.replace('GROUP BY id, stem)', f'WHERE list_contains({words}, stem) GROUP BY id, stem)')}, {_REST},
+    place AS (SELECT unnest({words}) AS term, unnest(range(1, 9)) AS spot), cells AS MATERIALIZED (SELECT id, spot, weight FROM nw JOIN place USING (term)),
+    grams AS (SELECT p.spot AS i, q.spot AS j, coalesce(g, 0.0) AS g FROM place p CROSS JOIN place q LEFT JOIN (SELECT a.spot AS i, b.spot AS j, sum(a.weight * b.weight) AS g FROM cells a JOIN cells b USING (id) GROUP BY a.spot, b.spot) s ON s.i = p.spot AND s.j = q.spot),
+    m1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM grams GROUP BY i))"""]
+    product = "list_transform({0}, lambda r: list_transform({0}, lambda c: list_dot_product(r, c)))"
+    trace = "list_sum(list_transform(range(1, 9), lambda i: {0}[i][i]))"
+    for n in range(1, k + 1):
+        squared = product.format("m")
+        steps.append(f"""s{n} AS (SELECT * FROM (WITH RECURSIVE q(step, m) AS (SELECT 0, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) FROM (SELECT m, {trace.format('m')} AS t FROM m{n})
+            UNION ALL SELECT step + 1, list_transform(w, lambda r: list_transform(r, lambda x: x / t)) FROM (SELECT step, w, {trace.format('w')} AS t FROM (SELECT step, {squared} AS w FROM q WHERE step < 40))) SELECT m AS p FROM q WHERE step = 40)),
+    p{n} AS MATERIALIZED (SELECT p, list_sum(list_transform(range(1, 9), lambda i: list_dot_product(p[i], m[i]))) AS ev FROM s{n}, m{n}),
+    m{n + 1} AS MATERIALIZED (SELECT list_transform(range(1, 9), lambda i: list_transform(range(1, 9), lambda j: m[i][j] - ev * p[i][j])) AS m FROM m{n}, p{n})""")
+    steps.append("sigma AS (" + " UNION ALL ".join(f"SELECT {n - 1} AS i, sqrt(ev) AS sigma FROM p{n}" for n in range(1, k + 1)) + ")")
+    total = " + ".join(f"p{n}.p[i][j]" for n in range(1, k + 1))
+    steps.append(f"projection AS MATERIALIZED (SELECT list_transform(range(1, 9), lambda i: list_transform(range(1, 9), lambda j: {total})) AS p FROM {', '.join(f'p{n}' for n in range(1, k + 1))})")
+    steps.append("""columns AS (SELECT id, list_transform(range(1, 9), lambda i: coalesce(list_extract(map_extract(m, i), 1), 0.0)) AS a FROM (SELECT id, map_from_entries(list((spot, weight))) AS m FROM cells GROUP BY id)),
+    projected AS MATERIALIZED (SELECT id, list_transform(range(1, 9), lambda i: list_dot_product(p[i], a)) AS a FROM columns, projection)""")
+    return ", ".join(steps)
+
+
+def _latent(k: int, limit: int) -> str:
+    return f"""{_triplets(k)}, {_vector(PLAIN)}, asked AS (SELECT list_transform(range(1, 9), lambda i: coalesce(list_extract(map_extract(m, i), 1), 0.0)) AS q FROM (SELECT map_from_entries(list((spot, asked))) AS m FROM q JOIN place USING (term))),
+    folded AS (SELECT list_transform(range(1, 9), lambda i: list_dot_product(p[i], q)) AS q FROM asked, projection),
+    scored AS (SELECT id, round(list_dot_product(q, a) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(a, a)), 6) AS score FROM projected, folded WHERE list_dot_product(a, a) > 1e-20),
+    best AS (SELECT a.id, coalesce(score, 0.0) AS score FROM articles a LEFT JOIN scored s ON s.id = a.id ORDER BY coalesce(score, 0.0) DESC, a.id LIMIT {limit})
+    SELECT score, title, url, id, text FROM best JOIN articles USING (id)"""
+
+
+_UNIT = "SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range(25) a(i), range(25) b(j)"
 _CLOCK = "printf('%02d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60)"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_articles": "SELECT id, title, url, text FROM articles",
-        "parse_dump_docs": """SELECT id, t AS title, u AS url, b AS text FROM (SELECT id, regexp_replace(url, '[<"]', '', 'g') AS u, regexp_replace(title, '[<"]', '', 'g') AS t,
-            regexp_replace(text, '[<"]', '', 'g') AS b FROM articles) WHERE regexp_matches(u, '^https?://.') AND t <> '' AND b <> ''""",
-        "extract_pages": r"""SELECT id, url, title, p AS text FROM (SELECT id, url, title, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
-            lambda p: regexp_replace(p, '[\s\x0b\x{85}\p{Z}]+', '', 'g') <> ''), chr(10)) AS p FROM articles) WHERE title IS NOT NULL AND p <> ''""",
+        "parse_dump_docs": _BARE,
+        "dump_folders": _BARE,
+        "dump_report": f"SELECT 'folder=' || ['AA', 'AB', 'AC'][id % 3 + 1] AS folder, true AS readable, count(*) AS documents FROM ({_BARE}) GROUP BY 1",
+        "extract_pages": _PAGES,
+        "stream_pages": f"SELECT url, 1::BIGINT AS n FROM ({_PAGES}) WHERE url IS NOT NULL GROUP BY url",
+        "stream_outcomes": """WITH l AS (SELECT DISTINCT ON (fetch_id) fetch_id, outcome, date_trunc('hour', fetched_at) AS from_time FROM crawl_log)
+            SELECT from_time, outcome, count(*) AS n FROM l WHERE from_time + INTERVAL 1 HOUR <= (SELECT max(fetched_at) - INTERVAL 1 DAY FROM crawl_log) GROUP BY from_time, outcome""",
+        "append_articles": "SELECT coalesce(min(id) FILTER (id % 2 = 0), min(id)) AS id, url, 0 AS added_last FROM articles WHERE url IS NOT NULL GROUP BY url",
+        "numbered_articles": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS doc_pos FROM articles",
         "parse_api_extracts": "SELECT title, text AS content FROM articles WHERE text <> ''",
         "insert_or_ignore_url": "SELECT min(id) AS id, url FROM articles WHERE url IS NOT NULL GROUP BY url UNION ALL SELECT id, url FROM articles WHERE url IS NULL",
         "insert_new_articles": """WITH new AS (SELECT id, title FROM articles WHERE id % 2 = 1 AND text <> '' AND NOT EXISTS (SELECT 1 FROM articles o WHERE o.id % 2 = 0 AND o.title = articles.title))
@@ -88,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "summed_entries": "SELECT article_id AS i, outcome AS j, count(*)::DOUBLE AS value FROM crawl_log WHERE article_id IS NOT NULL GROUP BY article_id, outcome",
         "query_vector": f"{_INDEX}, {_vector(PLAIN + ' river')} SELECT term, round(asked, 6) AS weight FROM q",
         "search_tfidf": _search(_INDEX, PLAIN),
+        "search_stored_index": _search(_INDEX, PLAIN),
         "search_tfidf_raw_words": _search(_INDEX, INFLECTED),
         "search_tfidf_stemmed_query": _search(_INDEX, INFLECTED, stemmed=True),
         "search_no_match": _search(_INDEX, UNKNOWN, 5),
@@ -114,6 +159,17 @@ def oracle_sql() -> dict[str, str]:
         "power_iteration_sigma1": f"""{_INDEX}, u1 AS MATERIALIZED (SELECT term, sum(weight) AS x FROM nw GROUP BY term), v1 AS MATERIALIZED (SELECT id, sum(weight * x) AS x FROM nw JOIN u1 USING (term) GROUP BY id),
             u2 AS MATERIALIZED (SELECT term, sum(weight * x) AS x FROM nw JOIN v1 USING (id) GROUP BY term), v2 AS (SELECT id, sum(weight * x) AS x FROM nw JOIN u2 USING (term) GROUP BY id)
             SELECT round(sqrt((SELECT sum(x * x) FROM v2) / (SELECT sum(x * x) FROM u2)), 6) AS sigma""",
+        "svd_residuals": "SELECT i::INTEGER AS i, true AS \"left\", true AS \"right\", true AS falling FROM range(25) r(i)",
+        "term_vectors": _UNIT,
+        "doc_vectors": _UNIT,
+        "gram_matrix_small": f"{_INDEX} SELECT a.id AS i, b.id AS j, round(sum(a.weight * b.weight), 6) AS value FROM nw a JOIN nw b USING (term) WHERE a.id % 100 = 0 AND b.id % 100 = 0 GROUP BY a.id, b.id",
+        "svd_words_sigma": f"{_triplets(8)} SELECT i::INTEGER AS i, round(sigma, 6) AS sigma FROM sigma",
+        "power_words_sigma": f"{_triplets(2)} SELECT i::INTEGER AS i, round(sigma, 3) AS sigma FROM sigma",
+        "svd_words_projection": f"{_triplets(3)} SELECT a.term, b.term AS other, round(p[a.spot][b.spot], 6) + 0.0::DOUBLE AS value FROM place a, place b, projection",
+        "search_lsi_words": _latent(3, 20),
+        "search_low_rank_words": _latent(3, 20),
+        "low_rank_matrix_words": f"""{_triplets(3)}, entries AS (SELECT id, unnest(a) AS x, unnest(range(1, 9)) AS spot, sqrt(list_dot_product(a, a)) AS size FROM projected)
+            SELECT id, term, round(x / size, 6) AS weight FROM entries JOIN place USING (spot) WHERE size > 1e-12 AND abs(round(x / size, 6)) > 1e-6""",
         "stored_vector_norms": """SELECT DISTINCT doc_pos AS id, round(sqrt(list_sum(list_transform(docs_ser, lambda x: x * x))), 6) AS norm FROM doc_vectors
             WHERE docs_ser IS NOT NULL AND len(list_filter(docs_ser, lambda x: isnan(x))) = 0""",
         "stored_vector_search": """WITH s AS (SELECT list(sigma ORDER BY i)[1:25] AS q FROM sigma), v AS (SELECT DISTINCT doc_pos AS id, docs_ser[1:25] AS v FROM doc_vectors

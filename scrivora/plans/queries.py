@@ -11,18 +11,24 @@ from scrivora.functions.stem import stem_words
 from scrivora.functions.text import RANKS, clock, fixed, index_name, method_name, rank_bucket, titled, tokenize, tokenize_blanks
 from scrivora.operators import index as ix
 from scrivora.operators.crawl import outcomes, progress
-from scrivora.operators.factors import Factors, latent_neighbours, matvec, power_factors, rmatvec, vector_norms
+from scrivora.functions.vectors import dot
+from scrivora.operators.factors import Factors, gram_matrix, latent_neighbours, matvec, power_factors, residuals, rmatvec, vector_norms
+from scrivora.operators.numbering import number_rows
 from scrivora.operators.search import DECIMALS, defaulted, known_method, mean_normalized, one_query, query_vectors, top_documents, top_documents_batch
-from scrivora.session import read_table
+from scrivora.session import materialize, read_table, scratch_path
 from scrivora.sources import articles as art
-from scrivora.sources.dumps import as_json, json_column, parse_dump, parse_extracts, parse_requests, word_list
+from scrivora.sources.dumps import as_json, dump_files, json_column, parse_dump, parse_extracts, parse_requests, read_dumps, word_list
 from scrivora.sources.pages import paragraphs, parse_pages
+from scrivora.streaming.ingest import ingest_pages, outcome_counts, page_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Texts of the single-query searches: raw words that are their own stems, inflected words, and words found nowhere.
 PLAIN, INFLECTED, UNKNOWN = "church tower old river", "ancient villages measured castles", "zzzunknown qqqabsent"
 
+#: The vocabulary of the small factorisation, whose exact result SQL can state.
+WORDS = ("church", "tower", "old", "river", "villag", "vallei", "castl", "bridg")
+
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return art.scan_articles(spark, f"{sf_dir}/articles.parquet")
@@ -54,14 +60,73 @@ def parse_dump_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dump(files)
 
 
-def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dump_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles as dump files in three folders, read back."""
+    path = _dumped(spark, sf_dir)
+    return read_dumps(spark, [f"{path}/folder={name}/*" for name in ("AA", "AB", "AC")])
+
+
+def dump_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = dump_files(spark, [f"{_dumped(spark, sf_dir)}/*/*"])
+    return files.groupBy("folder").agg(F.min("readable").alias("readable"), F.sum("documents").alias("documents"))
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> str:
+    bare = [F.regexp_replace(c, r'[<"]', "") for c in ("url", "title", "text")]
+    line = F.format_string('<doc id="%d" url="%s" title="%s">%s</doc>', "id", *bare)
+    folder = F.element_at(F.array(*map(F.lit, ("AA", "AB", "AC"))), (F.col("id") % 3 + 1).cast("int"))
+    path = scratch_path(spark, "dumps")
+    kept = _articles(spark, sf_dir).where(F.col("url").isNotNull() & F.col("title").isNotNull() & F.col("text").isNotNull())
+    kept.select(folder.alias("folder"), line.alias("value")).write.partitionBy("folder").text(path)
+    return path
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, url, html): the articles as pages."""
+
     def escaped(c):
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: F.concat(F.lit("<p>"), escaped(p), F.lit("</p>"))), "")
     heading = F.coalesce(F.concat(F.lit('<h1 id="firstHeading"><span>'), escaped(F.col("title")), F.lit("</span></h1>")), F.lit(""))
     html = F.concat(F.lit("<html><head><script>var p = '</p>';</script></head><body>"), heading, F.lit('<div class="mw-parser-output x">'), body, F.lit("<div><p>nested</p></div></div></body></html>"))
-    return parse_pages(_articles(spark, sf_dir).select("id", "url", html.alias("html")))
+    return _articles(spark, sf_dir).select("id", "url", html.alias("html"))
+
+
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_pages(_html(spark, sf_dir))
+
+
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, n) of what a stream of the pages stores, the same files arriving a second time. Which of the pages of one url is stored depends on
+    the order of arrival, so they are counted."""
+    pages, target = scratch_path(spark, "arriving"), scratch_path(spark, "stored")
+    _html(spark, sf_dir).where(F.col("url").isNotNull()).repartition(4, "id").write.parquet(pages)
+    for turn in range(2):
+        ingest_pages(page_stream(spark, pages, 2), target, scratch_path(spark, "marks")).awaitTermination()
+    return spark.read.parquet(target).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts per outcome and hour from the crawl log as a stream that comes in one piece; the hours of its last day are still open and not given."""
+    log = read_table(spark, sf_dir, "crawl_log").select("fetch_id", "outcome", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    arriving, target = scratch_path(spark, "log"), scratch_path(spark, "outcomes")
+    log.coalesce(1).write.parquet(arriving)
+    counts = outcome_counts(spark.readStream.schema(log.schema).parquet(arriving), lateness="1 day")
+    counts.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", scratch_path(spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(target)
+
+
+def append_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after three appends that ignore known urls: even ids, all, and all again."""
+    path, rows = scratch_path(spark, "table"), _articles(spark, sf_dir).where(F.col("url").isNotNull())
+    added = [art.append_new(spark, path, part, "url") for part in (rows.where("id % 2 = 0"), rows, rows)]
+    return spark.read.parquet(path).select("id", "url").withColumn("added_last", F.lit(added[-1]))
+
+
+def numbered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the articles in the order of their identifiers."""
+    return number_rows(_articles(spark, sf_dir).select("id"), ["id"], "doc_pos").select("id", F.col("doc_pos").cast("long").alias("doc_pos"))
 
 
 def parse_api_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +335,13 @@ def fetch_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("fetch_id", F.when(seconds >= 0, clock(seconds)).alias("delay"))
 
 
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over an index that is built, saved and loaded."""
+    path = scratch_path(spark, "index")
+    ix.TextIndex.load_or_build(spark, path, _articles(spark, sf_dir), _stop_words(spark, sf_dir))
+    return top_documents(ix.TextIndex.load_or_build(spark, path, _articles(spark, sf_dir).limit(0)), PLAIN)
+
+
 # Linear algebra
 
 
@@ -305,12 +377,34 @@ def svd_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_factors(spark, sf_dir)[1].sigma_table(spark), "sigma")
 
 
+def svd_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each of 25 triplets, whether |A v - sigma u| and |Aᵀ u - sigma v| are at most 1e-6 sigma, reckoned from the postings, and
+    whether sigma is no larger than the one before."""
+    index, factors = _factors(spark, sf_dir)
+    found = residuals(factors, index.postings)
+    falling = [True, *(bool(a >= b) for a, b in zip(factors.sigma, factors.sigma[1:]))]
+    return spark.createDataFrame([(i, left <= 1e-6, right <= 1e-6, falling[i]) for i, left, right in found], "i int, left boolean, right boolean, falling boolean")
+
+
+def _products(vectors: DataFrame, column: str, scale: list[float]) -> DataFrame:
+    """(i, j, product): inner products of the columns of all vectors, each divided by its scale."""
+    k = len(scale)
+    sums = [F.sum(F.col(column)[i] * F.col(column)[j] / F.lit(scale[i] * scale[j])) for i in range(k) for j in range(k)]
+    found = vectors.agg(F.array(*sums).alias("p")).select(F.posexplode("p").alias("at", "product"))
+    # Adding 0 turns a negative 0 into 0.
+    return found.select(F.expr(f"at div {k}").cast("int").alias("i"), (F.col("at") % k).cast("int").alias("j"), (F.round("product", DECIMALS) + F.lit(0.0)).alias("product"))
+
+
 def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _factors(spark, sf_dir)[1].terms
+    """Inner products of the 25 term vectors' columns, over all terms."""
+    factors = _factors(spark, sf_dir)[1]
+    return _products(factors.terms, "u", [1.0] * factors.rank)
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _factors(spark, sf_dir)[1].documents
+    """Inner products of the 25 document vectors' columns without their singular values, over all documents."""
+    factors = _factors(spark, sf_dir)[1]
+    return _products(factors.documents, "v", [float(s) for s in factors.sigma])
 
 
 def search_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,9 +417,68 @@ def search_low_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.search(index, PLAIN, k=10)
 
 
+def _stated(index: ix.TextIndex) -> DataFrame:
+    return index.documents.where(F.col("id") % 100 == 0).select("id")
+
+
 def low_rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, factors = _factors(spark, sf_dir)
-    return factors.strongest_terms(index.documents.where(F.col("id") % 100 == 0).select("id"))
+    return factors.strongest_terms(_stated(index))
+
+
+def gram_matrix_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner products of the articles whose identifier is divisible by 100."""
+    index = _index(spark, sf_dir)
+    return _rounded(gram_matrix(index.postings, _stated(index)), "value")
+
+
+def _words_index(spark: SparkSession, sf_dir: str) -> ix.TextIndex:
+    """All articles over a stated vocabulary of eight terms."""
+    articles = _articles(spark, sf_dir)
+    return ix.TextIndex.of(articles, materialize(ix.term_frequencies(articles, _stop_words(spark, sf_dir)).where(F.col("term").isin(*WORDS)), "frequencies"))
+
+
+def _word_factors(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[ix.TextIndex, Factors]:
+    """The factors of that index, saved and loaded."""
+    index = _words_index(spark, sf_dir)
+    path = scratch_path(spark, "factors")
+    Factors.load_or_build(index.postings, path, k, (k,))
+    return index, Factors.load_or_build(index.postings.limit(0), path, k, (k,))
+
+
+def svd_words_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_word_factors(spark, sf_dir)[1].sigma_table(spark), "sigma")
+
+
+def svd_words_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, other, value): the projection on the three leading term vectors, which does not depend on their signs."""
+    u = _word_factors(spark, sf_dir, 3)[1].terms
+    other = u.select(F.col("term").alias("other"), F.col("u").alias("w"))
+    # Eight terms by eight.
+    return u.crossJoin(F.broadcast(other)).select("term", "other", (F.round(dot(F.col("u"), F.col("w")), DECIMALS) + F.lit(0.0)).alias("value"))
+
+
+def power_words_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two leading singular values by power iteration with deflation, to three decimals."""
+    found = power_factors(_words_index(spark, sf_dir).postings, 2, iterations=40, tolerance=1e-9)
+    return spark.createDataFrame([(i, round(f[0], 3)) for i, f in enumerate(found)], "i int, sigma double")
+
+
+def search_lsi_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, factors = _word_factors(spark, sf_dir, 3)
+    return factors.search(index, PLAIN, limit=20)
+
+
+def search_low_rank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method 4: eight triplets are stored, three are used."""
+    index, factors = _word_factors(spark, sf_dir)
+    return factors.search(index, PLAIN, limit=20, k=3)
+
+
+def low_rank_matrix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matrix of rank three over the stated vocabulary, all articles; entries of amount below a millionth are left out."""
+    index, factors = _word_factors(spark, sf_dir)
+    return factors.low_rank_matrix(index.documents.select("id"), k=3).where(F.abs("weight") > 1e-6)
 
 
 def stored_vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,12 +493,13 @@ def stored_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    scan_articles, parse_dump_docs, extract_pages, parse_api_extracts, insert_or_ignore_url, insert_new_articles, drop_short_articles, complete_articles, nonblank_paragraphs, stop_word_list, results_json, requests_json,
+    scan_articles, parse_dump_docs, dump_folders, dump_report, extract_pages, stream_pages, stream_outcomes, append_articles, numbered_articles, parse_api_extracts, insert_or_ignore_url, insert_new_articles, drop_short_articles, complete_articles, nonblank_paragraphs, stop_word_list, results_json, requests_json,
     tokenize_counts, tokenize_blank_counts, stopword_filter, porter_stem_vocab, vocabulary, corpus_stats,
     term_frequency, document_frequency, idf, tfidf, doc_norms, tfidf_normalized, tf_relative_tfidf, summed_entries,
-    query_vector, search_tfidf, search_tfidf_raw_words, search_tfidf_stemmed_query, search_no_match, search_raw_tf, search_tf_relative, search_batch_ranked, score_mean_normalized,
+    query_vector, search_tfidf, search_tfidf_raw_words, search_tfidf_stemmed_query, search_no_match, search_raw_tf, search_tf_relative, search_batch_ranked, score_mean_normalized, search_stored_index,
     result_cards, document_card, document_by_id, leading_sigma, request_defaults, k_bucket, crawl_outcomes, crawl_progress, fetch_delays,
-    sparse_matvec, sparse_rmatvec, power_iteration_sigma1, svd_sigma, term_vectors, doc_vectors, search_lsi, search_low_rank, low_rank_terms, stored_vector_norms, stored_vector_search,
+    sparse_matvec, sparse_rmatvec, power_iteration_sigma1, svd_sigma, svd_residuals, term_vectors, doc_vectors, search_lsi, search_low_rank, low_rank_terms, gram_matrix_small,
+    svd_words_sigma, svd_words_projection, power_words_sigma, search_lsi_words, search_low_rank_words, low_rank_matrix_words, stored_vector_norms, stored_vector_search,
 )
 
 

@@ -21,9 +21,22 @@ def parse_dump(files: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def read_dumps(spark: SparkSession, paths: list[str], ignore_missing: bool = True) -> DataFrame:
-    """Documents of all dump files under glob patterns; unreadable files are passed over."""
-    reader = spark.read.option("ignoreMissingFiles", str(ignore_missing).lower()).option("ignoreCorruptFiles", "true")
-    return parse_dump(reader.text(paths, wholetext=True))
+    """Documents of all dump files under glob patterns. A file that can't be read ends the job with its name; a file that is no
+    UTF-8 gives no documents and is named by :func:`dump_files`."""
+    return parse_dump(_dump_texts(spark, paths, ignore_missing))
+
+
+def _dump_texts(spark: SparkSession, paths: list[str], ignore_missing: bool = True) -> DataFrame:
+    files = spark.read.option("ignoreMissingFiles", str(ignore_missing).lower()).option("wholetext", "true").format("text").load(paths)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.try_validate_utf8("value").alias("value"))
+
+
+def dump_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(folder, file, readable, documents) of every dump file: what was read from where, and what was not."""
+    files = _dump_texts(spark, paths)
+    n = F.coalesce(F.size(F.regexp_extract_all("value", F.lit(DOC), F.lit(0))), F.lit(0)).cast("long")
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"), F.col("value").isNotNull().alias("readable"), F.when(F.col("value").isNull(), 0).otherwise(n).cast("long").alias("documents"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,10 @@ from pyspark.sql import functions as F
 from conftest import rows
 from scrivora.operators import index as ix
 from scrivora.operators import search as se
-from scrivora.operators.factors import Factors, latent_neighbours, power_factors
+from scrivora.operators.factors import Factors, gram_matrix, latent_neighbours, power_factors, residuals
+from scrivora.operators.skew import hot_keys, join_salted
+from scrivora.plans import queries
+from scrivora.session import materialize
 
 DOCS = [(1, "Cats chase mice."), (2, "The cat sleeps; cats sleep."), (3, "Mice eat corn, corn, corn!"), (4, "?? 42 a")]
 
@@ -115,31 +120,128 @@ def test_factors(index, docs, spark, tmp_path):
     a, terms, ids = dense(index)
     factors = Factors.fit(index.postings, k=3)
     assert np.allclose(factors.sigma, np.linalg.svd(a, compute_uv=False)[:3], atol=1e-8)
-    u = np.zeros((len(terms), factors.rank))
-    v = np.zeros((len(ids), factors.rank))
-    for r in factors.terms.collect():
-        u[terms.index(r["term"])] = r["u"]
-    for r in factors.documents.collect():
-        v[ids.index(r["id"])] = r["v"]
+    u, v = gathered(factors, terms, ids)
     assert np.allclose(u.T @ u, np.eye(factors.rank), atol=1e-8) and np.allclose(u @ v.T, a, atol=1e-8)
     # At full rank the low-rank matrix is the matrix, and both latent methods agree.
-    got = {(r["id"], r["term"]): r["weight"] for r in factors.strongest_terms(docs.select("id"), limit=10).collect()}
+    got = {(r["id"], r["term"]): r["weight"] for r in factors.low_rank_matrix(docs.select("id")).collect()}
     assert all(abs(got[ids[j], terms[i]] - a[i, j]) < 1e-5 for i, j in zip(*np.nonzero(a > 1e-6)))
+    best = rows(factors.strongest_terms(docs.select("id"), limit=1).select("id", "term"))
+    assert best[1:] == [(2, "sleep"), (3, "corn")]
     assert top(factors.search(index, "cat mice")) == top(factors.search(index, "cat mice", k=9))
     assert top(factors.search(index, "zzz")) == [(1, 0), (2, 0), (3, 0), (4, 0)] and top(factors.search(index, "zzz", k=2)) == []
     factors.save(str(tmp_path / "f"))
     assert np.allclose(Factors.load(spark, str(tmp_path / "f")).sigma, factors.sigma)
 
 
-def test_power_factors(table):
-    # Well separated values, so that few steps do.
+def gathered(factors, terms, ids):
+    at, place = {t: i for i, t in enumerate(terms)}, {d: j for j, d in enumerate(ids)}
+    u, v = np.zeros((len(terms), factors.rank)), np.zeros((len(ids), factors.rank))
+    for r in factors.terms.collect():
+        u[at[r["term"]]] = r["u"]
+    for r in factors.documents.collect():
+        v[place[r["id"]]] = r["v"]
+    return u, v
+
+
+def test_ranks_are_cut_from_one_factorisation(index, spark, tmp_path):
+    path = str(tmp_path / "ranks")
+    index.save(path)
+    Factors.load_or_build(index.postings, path, 2, (1, 3))
+    assert sorted(x for x in os.listdir(path) if x.startswith("svd")) == ["svd_k=1", "svd_k=3"]
+    assert Factors.load_or_build(index.postings.limit(0), path, 1, (1, 3)).rank == 1
+    assert all(len(r["v"]) == 1 for r in spark.read.parquet(f"{path}/svd_k=1/documents").collect())
+
+
+def reference_matrix(table, n_docs, n_terms, seed):
+    rng = np.random.default_rng(seed)
+    # A slowly falling spectrum, the hard case.
+    a = np.where(rng.random((n_terms, n_docs)) < 0.05, rng.random((n_terms, n_docs)), 0)
+    i, j = np.nonzero(a)
+    return a, table([(int(d), f"t{t}", float(a[t, d])) for t, d in zip(i, j)], "id long, term string, weight double")
+
+
+@pytest.mark.parametrize("most_columns", [480, 60])
+def test_factors_converge(table, monkeypatch, most_columns):
+    monkeypatch.setattr("scrivora.operators.blocks.MOST_COLUMNS", most_columns)
+    a, postings = reference_matrix(table, 150, 220, 1)
+    exact = np.linalg.svd(a, compute_uv=False)[:8]
+    factors = Factors.fit(postings, k=8, oversampling=8)
+    assert np.abs(factors.sigma / exact - 1).max() < 1e-10
+    assert all(left < 1e-6 and right < 1e-6 for _, left, right in residuals(factors, postings))
+
+
+def test_factors_say_when_they_do_not_converge(table):
+    with pytest.raises(ValueError, match="convergence"):
+        Factors.fit(reference_matrix(table, 150, 220, 1)[1], k=8, oversampling=2, most_products=2)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_factors_of_the_test_data(spark):
+    """Values, residuals and the ten best rows of both latent searches against a dense decomposition."""
+    full = queries._index(spark, "/root/testdata/sf0.01")
+    full.postings = materialize(full.postings, "postings")
+    cells = full.postings.toPandas()
+    terms, ids = sorted(set(cells["term"])), sorted(set(cells["id"]))
+    a = np.zeros((len(terms), len(ids)))
+    at = {t: i for i, t in enumerate(terms)}
+    np.add.at(a, ([at[t] for t in cells["term"]], np.searchsorted(ids, cells["id"])), cells["weight"])
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    factors = Factors.fit(full.postings, 25)
+    assert np.abs(factors.sigma / s[:25] - 1).max() < 1e-6
+    assert max(max(x[1:]) for x in residuals(factors, full.postings)) < 1e-6
+    asked = {r["term"]: r["weight"] for r in se.query_vectors(se.one_query(full, queries.PLAIN), full.terms).collect()}
+    q = np.zeros(len(terms))
+    for t, w in asked.items():
+        q[at[t]] = w
+    every = sorted(r["id"] for r in full.documents.select("id").collect())
+    for k, method in ((25, None), (10, 10)):
+        fold, docs = u[:, :k].T @ q, s[:k, None] * vt[:k]
+        score = dict(zip(ids, np.round(fold @ docs / np.linalg.norm(fold) / np.linalg.norm(docs, axis=0), 6)))
+        expected = sorted(((float(score.get(d, 0.0)), d) for d in every), key=lambda x: (-x[0], x[1]))[:10]
+        assert [(r["score"], r["id"]) for r in factors.search(full, queries.PLAIN, k=method).collect()] == expected
+
+
+def test_power_factors(index, table):
+    a, *_ = dense(index)
+    exact = np.linalg.svd(a, compute_uv=False)
+    found = power_factors(index.postings, 3, iterations=30)
+    assert np.allclose([s for s, _, _ in found], exact[:3], atol=5e-2)
     a = np.array([[4.0, 0.5], [0.5, 1.0]])
     postings = table([(j, f"t{i}", float(a[i, j])) for i in range(2) for j in range(2)], "id long, term string, weight double")
-    found = power_factors(postings, 2, iterations=5)
-    assert np.allclose([s for s, _, _ in found], np.linalg.svd(a, compute_uv=False), atol=1e-3)
+    assert np.allclose([s for s, _, _ in power_factors(postings, 2, iterations=8)], np.linalg.svd(a, compute_uv=False), atol=1e-5)
     assert len(power_factors(postings.where("term = 't0'"), 2, iterations=5)) == 1
 
 
+def test_gram_matrix(index):
+    a, _, ids = dense(index)
+    got = {(r["i"], r["j"]): r["value"] for r in gram_matrix(index.postings, index.documents.where("id < 4")).collect()}
+    g = a.T @ a
+    assert all(abs(got.get((x, y), 0.0) - g[i, j]) < 1e-9 for i, x in enumerate(ids) for j, y in enumerate(ids))
+
+
+def test_salted_join(table):
+    many = table([(i, "hot" if i % 3 else f"k{i}") for i in range(900)], "id long, term string")
+    counts = many.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, "term", "n", 100)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 6)] and hot_keys(counts, "term", "n", 1000) is None
+    other = table([("hot", 1), ("hot", 2), ("k3", 3), ("zzz", 4)], "term string, x int")
+    assert rows(join_salted(many, other, "term", hot)) == rows(join_salted(many, other, "term", None))
+
+
+def test_batch_with_a_hot_query(index, table):
+    asked = table([(i, "Mice  cat" if i % 2 else "cat mice", 1 + i % 2) for i in range(60)] + [(99, "corn", 1)], "query_id long, query string, row_limit int")
+    got = se.top_documents_batch(index, asked, hot_rows=10)
+    assert got.where("query_id < 60 and rank = 1 and id = 1").count() == 60 and got.where("rank = 2").count() == 30
+    assert rows(got) == rows(se.top_documents_batch(index, asked))
+
+
+def test_order_of_results(index):
+    factors = Factors.fit(index.postings, k=3)
+    for found in (factors.search(index, "mice corn"), factors.search(index, "mice corn", limit=5000), se.top_documents(index, "mice corn", limit=5000)):
+        got = top(found)
+        assert got == sorted(got, key=lambda r: (-r[1], r[0])) and len(got) == 4
+
+
 def test_factors_of_nothing(index):
     with pytest.raises(ValueError):
         Factors.fit(index.postings.limit(0))

@@ -20,6 +20,10 @@ def test_dump(spark, table, tmp_path):
     (tmp_path / "AA").mkdir()
     (tmp_path / "AA" / "wiki_00").write_text(DUMP)
     assert dumps.read_dumps(spark, [str(tmp_path / "A*" / "*")]).count() == 2
+    (tmp_path / "AB").mkdir()
+    (tmp_path / "AB" / "wiki_01").write_bytes(DUMP.encode() + b"\xff\xfe")
+    assert rows(dumps.dump_files(spark, [str(tmp_path / "A*" / "*")])) == [("AA", "wiki_00", True, 2), ("AB", "wiki_01", False, 0)]
+    assert dumps.read_dumps(spark, [str(tmp_path / "A*" / "*")]).count() == 2
 
 
 def test_page():
