@@ -66,4 +66,11 @@ def oracle_sql() -> dict[str, str]:
             need AS (SELECT m.source, m.max_repeats, m.target_share * (SELECT sum(tokens) FROM sized)::DOUBLE AS need, coalesce(have, 0)::DOUBLE AS have
                      FROM mix_targets m LEFT JOIN have h ON h.source = m.source)
             SELECT source, CASE WHEN need <= have THEN 'enough' WHEN need <= have * max_repeats THEN 'repeat' ELSE 'short' END AS fate FROM need""",
+        "p8_seats": f"""
+            WITH total AS (SELECT sum({_TOKENS}) AS tokens FROM documents),
+            seats AS (SELECT round_even(tokens::DOUBLE * (SELECT sum(target_share) FROM mix_targets) / 256, 0)::BIGINT AS n FROM total),
+            quotients AS (SELECT source, target_share / (2 * unnest(range((SELECT n FROM seats) + 1)) + 1) AS q FROM mix_targets WHERE target_share > 0),
+            granted AS (SELECT source, count(*) AS seats FROM (SELECT source, row_number() OVER (ORDER BY q DESC, source) AS place FROM quotients) WHERE place <= (SELECT n FROM seats) GROUP BY source)
+            SELECT m.source, coalesce(g.seats, 0) AS seats FROM mix_targets m LEFT JOIN granted g ON g.source = m.source""",
+        "p8_bounds": "SELECT source, true AS reached, true AS close, true AS seldom FROM mix_targets",
     }

@@ -111,6 +111,24 @@ def p8_shares_bpe(spark: SparkSession, sf_dir: str, path: str = "/opt/tokenizers
     return _mix(spark, sf_dir, size=vocabulary_token_count(path, PATTERN)).report()
 
 
+def p8_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal-token blocks of every source by Sainte-Laguë."""
+    return _mix(spark, sf_dir)._plan_frame().select("source", "seats")
+
+
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target, whether the selection reaches the need or uses the source up, passes the need by no more than a document of each shard
+    (and not at all if it is used up), and repeats a document no more than it must and may."""
+    mix = _mix(spark, sf_dir)
+    longest = mix.sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("tokens").alias("longest"))
+    r = mix.report().join(longest, "source", "left").fillna(0, ["longest"])
+    most = F.col("have") * F.col("max_repeats")
+    reached = (F.col("selected") >= F.col("need")) | (F.col("selected") == most)
+    close = F.col("selected") <= F.least(F.ceil("need") + F.lit(mix.shards) * F.col("longest"), most)
+    seldom = F.col("most_copies") <= F.least("max_repeats", F.greatest(F.lit(1), F.ceil(F.col("need") / F.greatest("have", F.lit(1)))))
+    return r.select("source", reached.alias("reached"), close.alias("close"), seldom.alias("seldom"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_residue(spark, sf_dir).select("doc_id").distinct()
 
@@ -138,6 +156,8 @@ def queries() -> dict[str, Query]:
         "p8_found": p8_found,
         "p8_selection": p8_selection,
         "p8_shares": p8_shares,
+        "p8_seats": p8_seats,
+        "p8_bounds": p8_bounds,
         "p8_shares_bpe": p8_shares_bpe,
         "p9_found": p9_found,
         "p9_residue": p9_residue,

@@ -13,7 +13,7 @@ from scrivora.llm.contamination import LeakSearch
 from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
 from scrivora.llm.language import LanguageIdentification, LanguageModels
-from scrivora.llm.mixing import SourceMix, sainte_lague
+from scrivora.llm.mixing import SourceMix, allot, sainte_lague
 from scrivora.llm.residue import residue, template_residue
 from scrivora.llm.similar_vectors import VectorIndex
 from scrivora.llm.splitting import split, split_long
@@ -198,6 +198,17 @@ def test_sainte_lague(seed):
     assert sainte_lague(np.array(weights), seats, np.array(caps)).tolist() == plain_sainte_lague(weights, seats, caps)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_allotment_is_exact(seed):
+    rng = random.Random(seed)
+    tokens = [rng.choice([0, 1, 5, 63, 64, 65, rng.randint(0, 5000)]) for _ in range(rng.randint(1, 20))]
+    rounds, wanted = rng.randint(1, 4), rng.choice([0, 1, sum(tokens), sum(tokens) + 1, rng.randint(0, 5 * sum(tokens) + 9)])
+    quota, target = allot(np.array(tokens), wanted, rounds, 64)
+    assert target.sum() == min(wanted, rounds * sum(tokens)) and (target >= 0).all() and (target <= rounds * np.array(tokens)).all()
+    # Only what a member's last block lacks, and what is carried for it, sets a target apart from its blocks.
+    assert np.abs(target - np.minimum(quota * 64, rounds * np.array(tokens))).sum() <= 64 * (len(tokens) + 1)
+
+
 def mix(table, docs=None):
     rng = random.Random(3)
     docs = docs if docs is not None else [(i, "ab, " * rng.randint(0, 60), rng.choice(["big"] * 8 + ["mid", "mid", "tiny", None, "none"])) for i in range(1500)] + [(2000, None, "mid"), (2001, "", "tiny"), (None, "x y", "big")]
@@ -221,14 +232,24 @@ def test_mix_shards_and_empty(table, monkeypatch):
     from scrivora.llm import mixing
 
     monkeypatch.setattr(mixing, "SHARD_TOKENS", 5000)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
     m = mix(table)
     assert m.shards > 5
+    assert m.quotas().where("source = 'mid'").count() > 5
     report = {r["source"]: r for r in m.report().collect()}
     assert abs(report["mid"]["selected"] - report["mid"]["need"]) < 0.05 * m.total
     empty = mix(table, [])
     assert {r["fate"] for r in empty.report().collect()} == {"enough"} and empty.selection().count() == 0
 
 
+@pytest.mark.parametrize("need, repeats, fate, most", [(0.5, 3, "enough", 1), (0.50001, 3, "repeat", 2), (0.50001, 1, "short", 1), (0.50001, None, "short", 1), (0.50001, 0, "short", 1), (1.0, 2, "repeat", 2), (1.00001, 2, "short", 2)])
+def test_fate_at_the_boundary(table, need, repeats, fate, most):
+    # The source holds exactly half of all tokens.
+    docs = table([(i, "a " * 50, "s" if i % 2 else "t") for i in range(40)], "doc_id long, text string, source string")
+    report = SourceMix(docs, table([("s", need, repeats)], "source string, target_share double, max_repeats int"), block_tokens=64).report().head()
+    assert (report["fate"], report["most_copies"]) == (fate, most)
+
+
 # Vectors
 
 
