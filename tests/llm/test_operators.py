@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrivora.llm.contamination import LeakSearch
+from scrivora.llm.contamination import LeakSearch, least_matches
 from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
 from scrivora.llm.language import LanguageIdentification, LanguageModels
@@ -176,6 +176,60 @@ def test_leaks(table):
     assert LeakSearch(table([], "item_id long, text string")).search(corpus).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("options", [{}, {"most_bits": 1 << 9}, {"hot_rows": 3}])
+def test_leaks_with_changed_words(table, options):
+    """Every eleventh word is another one: no passage of twelve words is left, but over half of the shingles are."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    opening = " ".join(rng.choices(vocabulary, k=14))
+    items = [(i, (opening + " " if i % 3 == 0 else "") + " ".join(rng.choices(vocabulary, k=rng.choice([20, 50, 300])))) for i in range(30)]
+    docs = []
+    for d in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(0, 300))
+        if d % 2:
+            leaked = items[d // 2][1].split()
+            leaked[10::11] = [f"x{d}{i}" for i in range(len(leaked[10::11]))]
+            words[len(words) // 2 : len(words) // 2] = leaked
+        docs.append((d, " ".join(words + (opening.split() if d % 5 == 0 else []))))
+    search = LeakSearch(table(items, "item_id long, text string"), least=0.5, **options)
+    assert (search.filter is None) == ("most_bits" in options)
+    expected = {(d, i): len(shingles(t) & shingles(x)) / len(shingles(x)) for d, t in docs for i, x in items}
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in search.search(table(docs, "doc_id long, text string")).collect()}
+    assert got.keys() == {k for k, c in expected.items() if c >= 0.5} and len(got) >= 30
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+    parts = {r["part"]: r for r in search.partitions().collect()}
+    assert {4, 5, 8} <= set(parts) and parts[8]["least_share"] < 0.5 <= parts[5]["least_share"]
+    # The passages themselves are gone, but for the shared opening.
+    exact = LeakSearch(table(items, "item_id long, text string"), **options).search(table(docs, "doc_id long, text string"))
+    assert {r["item_id"] % 3 for r in exact.collect()} == {0}
+
+
+def test_shared_openings_are_no_keys(table):
+    opening = " ".join(f"o{i}" for i in range(11))
+    items = table([(i, f"{opening} " + " ".join(f"t{i}x{j}" for j in range(20))) for i in range(200)], "item_id long, text string")
+    search = LeakSearch(items)
+    # Seven shingles of the opening and four that reach into each item's own words.
+    assert search.index.groupBy("h").count().agg(F.max("count")).head()[0] == 1
+    docs = table([(d, opening + (" t5x0" if d == 7 else f" d{d}") + " and more") for d in range(90)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in search.search(docs).collect()] == [(7, 5)]
+
+
+def test_leaks_of_repeated_words(table):
+    items = table([(1, "a " * 40), (2, "b c " * 20), (3, "one two three " * 4)], "item_id long, text string")
+    docs = table([(1, "x " * 9 + "a " * 12), (2, "a " * 11), (3, "z b" + " c b" * 6), (4, "two three one " * 4)], "doc_id long, text string")
+    assert rows(LeakSearch(items).search(docs).select("doc_id", "item_id")) == [(1, 1), (3, 2)]
+
+
+def test_least_matches():
+    assert least_matches(64, 0.5) == 32 and least_matches(10, 0.05) == 1 and least_matches(4, 1.0) == 4
+    assert 10 <= least_matches(1000, 0.5) < 20 and least_matches(100_000, 0.01) == 1 and least_matches(1000, 1.0) == 64
+
+
 # Mixing
 
 
