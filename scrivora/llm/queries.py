@@ -41,10 +41,16 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = VectorIndex(read_table(spark, sf_dir, "doc_vectors"))
-    near = index.expand(index.neighbours(least=0.9))
+    near = index.expand(index.neighbours(least=0.9, recall=1.0))
     return near.select(F.least("pos", "other").alias("doc_a"), F.greatest("pos", "other").alias("doc_b")).distinct()
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar of every position, however far they are."""
+    index = VectorIndex(read_table(spark, sf_dir, "doc_vectors"))
+    return index.expand(index.neighbours())
+
+
 def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "doc_vectors")
     return VectorIndex(vectors).search(vectors.where(F.col("doc_pos") % 100 == 0).select(F.col("doc_pos").alias("pos")))
@@ -144,6 +150,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_scores": p2_scores,
         "p3_found": p3_found,
+        "p3_neighbours": p3_neighbours,
         "p3_search": p3_search,
         "p4_found": p4_found,
         "p4_frequencies": p4_frequencies,

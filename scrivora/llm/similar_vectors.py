@@ -18,11 +18,15 @@ SAMPLE = 65_536
 #: Vectors a cell should hold, and the most cells there are; bounds the centres sent to executors (4 MB for 50 numbers).
 CELL, MAX_CELLS = 512, 16_384
 #: Cells whose vectors are dealt with in one group: a query is sent once to a group of neighbouring cells, not to each of its cells.
-GROUP_CELLS = 16
-#: Queries of one group at most, about; those of a fuller one are dealt out to several that hold the same vectors.
-GROUP_QUERIES = 200_000
-#: Query vectors of one block of :meth:`VectorIndex.search`; bounds what is broadcast (13 MB for 50 numbers).
+GROUP_CELLS = 64
+#: Vectors and queries of one task at most, about: a fuller group is dealt out to a grid of tasks, each with a part of either.
+GROUP_VECTORS, GROUP_QUERIES = 200_000, 200_000
+#: Query vectors that are sent to all executors at most (26 MB for 50 numbers); more are dealt out to a grid of tasks.
 QUERY_BLOCK = 65_536
+#: Vectors of one task of that grid, about.
+GRID_VECTORS = 262_144
+#: Vectors whose neighbours are sought among all vectors, to learn in which cells neighbours lie.
+PROBE_SAMPLE = 1_024
 #: Standard deviations that an estimate may be below the truth before a neighbour is lost.
 EPSILON = 3.0
 _TILE = 1 << 17
@@ -159,10 +163,13 @@ class VectorIndex:
     third of all rows costs k pairs a row.
 
     * :meth:`neighbours` finds the k nearest of every vector. Representatives are assigned to the nearest cell centre (fitted on a
-      bounded sample, by default one cell per 512 vectors) and sought in the ``probes`` nearest cells. In a cell, one-bit
+      bounded sample, by default one cell per 512 vectors) and sought in all cells whose centre is nearly as similar as the nearest one.
+      How nearly is measured: the true neighbours of a bounded sample are found among all vectors, and the
+      margin is the least by which the wanted share of them is reached. So recall does not fall as cells become many. In a cell, one-bit
       codes of the rotated rest estimate all inner products; only vectors whose upper bound reaches the k-th lower bound
       (and the wanted least cosine) are compared exactly. Neighbouring cells form a group, to which a query is sent once.
-    * :meth:`search` answers a stated set of queries against all vectors, in blocks of queries, through the same codes.
+    * :meth:`search` answers a stated set of queries against all vectors through the same codes; with all vectors as queries it is the way
+      without cells, each pair of blocks one task's work.
 
     Defined cases: vectors that are null, of another length, all zero, or hold null, NaN or infinite numbers, and null positions, take no part; a
     row that comes twice counts once; ties go to the smaller position; fewer than k others give fewer rows; an empty
@@ -191,40 +198,66 @@ class VectorIndex:
         vectors = np.asarray(sample.column("v").combine_chunks().flatten()).reshape(-1, self.dim)[np.argsort(sample.column("rep").to_numpy())]
         return _fit_cells(_unit(vectors).astype(np.float32), max(1, min(MAX_CELLS, n // CELL)), self.seed)
 
-    def neighbours(self, probes: int = 8, least: float = -1.0) -> DataFrame:
-        """(rep, other, cosine) among representatives: of each the k nearest with a cosine of at least ``least``."""
+    def margin(self, centres: np.ndarray, least: float, recall: float) -> float:
+        """By how much a cell's centre may be less similar to a query than the nearest centre, so that the share ``recall`` of the sample's
+        true neighbours with a cosine of at least ``least`` lies in the cells within it. 2, which is all cells, if the sample has none."""
+        sample = self.reps.select(F.col("rep").alias("pos"), "v").orderBy(F.xxhash64("rep", F.lit(self.seed + 1)), "rep").limit(PROBE_SAMPLE).toArrow()
+        if not len(sample):
+            return 2.0
+        near = self._scan(sample, least).where(F.col("pos") != F.col("other"))
+        place = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("cosine"), "other"))
+        near = near.withColumn("place", place).where(F.col("place") <= self.k).select("pos", F.col("other").alias("rep"))
+        # At most PROBE_SAMPLE * k vectors.
+        found = self.reps.join(F.broadcast(near), "rep").select("pos", "v").toArrow()
+        if not len(found):
+            return 2.0
+        queries, homes = (_unit(np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, self.dim)).astype(np.float32) @ centres.T for t in (sample, found))
+        order = np.argsort(sample.column("pos").to_numpy())
+        asked = queries[order[np.searchsorted(sample.column("pos").to_numpy()[order], found.column("pos").to_numpy())]]
+        gap = np.sort(asked.max(axis=1) - asked[np.arange(len(asked)), homes.argmax(axis=1)])
+        return float(gap[min(len(gap) - 1, int(np.ceil(recall * len(gap))) - 1)]) + 1e-6
+
+    def neighbours(self, least: float = -1.0, recall: float = 0.95) -> DataFrame:
+        """(rep, other, cosine) among representatives: of each the k nearest with a cosine of at least ``least``. ``recall`` is the share of
+        these that the cells looked at hold, as measured on a sample; 1 takes the widest margin seen."""
         centres = self._centres()
         areas = _fit_cells(centres, max(1, len(centres) // GROUP_CELLS), self.seed) if len(centres) else centres
         area_of = (centres @ areas.T).argmax(axis=1).astype(np.int32) if len(centres) else np.zeros(0, np.int32)
+        margin = self.margin(centres, least, recall) if len(centres) else 2.0
         shared = self.spark.sparkContext.broadcast((centres, area_of))
-        dim, k, seed, reach = self.dim, self.k, self.seed, min(probes, max(1, len(centres)))
+        dim, k, seed = self.dim, self.k, self.seed
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres, area_of = shared.value
             for batch in batches:
-                for begin in range(0, len(batch), 4096):
-                    part = batch.slice(begin, 4096)
+                for begin in range(0, len(batch), 1024):
+                    part = batch.slice(begin, 1024)
                     unit = _unit(np.asarray(part.column(1).flatten()).reshape(-1, dim))
                     near = unit.astype(np.float32) @ centres.T
-                    top = np.argpartition(-near, reach - 1, axis=1)[:, :reach]
-                    home = np.take_along_axis(top, np.take_along_axis(near, top, axis=1).argmax(axis=1)[:, None], axis=1)[:, 0]
-                    raw = unit.tobytes()
-                    size = dim * 8
+                    home = near.argmax(axis=1)
+                    row, cell = np.nonzero(near >= near[np.arange(len(near)), home][:, None] - np.float32(margin))
+                    raw, size = unit.tobytes(), dim * 8
                     vectors = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
-                    cells = pa.ListArray.from_arrays(np.arange(0, top.size + 1, reach, dtype=np.int32), pa.array(top.ravel().astype(np.int32)))
-                    met = np.sort(area_of[top], axis=1)
-                    fresh = np.c_[np.ones(len(met), bool), met[:, 1:] != met[:, :-1]]
-                    met = pa.ListArray.from_arrays(np.r_[0, np.cumsum(fresh.sum(axis=1))].astype(np.int32), pa.array(met[fresh]))
+                    cells = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(near) + 1)).astype(np.int32), pa.array(cell.astype(np.int32)))
+                    met = np.unique(np.c_[row, area_of[cell]], axis=0)
+                    met = pa.ListArray.from_arrays(np.searchsorted(met[:, 0], np.arange(len(near) + 1)).astype(np.int32), pa.array(met[:, 1].astype(np.int32)))
                     yield pa.record_batch([part.column(0), pa.array(home.astype(np.int32)), pa.array(area_of[home]), cells, met, vectors], names=["rep", "home", "area", "cells", "areas", "unit"])
 
         placed = materialize(self.reps.mapInArrow(assign, "rep long, home int, area int, cells array<int>, areas array<int>, unit binary"), "vector-cells")
-        # One row per area, of which there are at most MAX_CELLS / GROUP_CELLS.
-        parts = placed.select(F.explode("areas").alias("at")).groupBy("at").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("parts"))
-        parts = F.broadcast(materialize(parts, "vector-parts"))
-        none = F.lit(None).cast("array<int>").alias("cells")
-        data = placed.join(parts, placed["area"] == parts["at"]).select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", none, "rep", "unit")
-        asks = placed.select(F.explode("areas").alias("at"), "cells", "rep", "unit").join(parts, "at")
-        asks = asks.select("at", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(-1).alias("home"), "cells", "rep", "unit")
+        # One row per area, of which there are at most MAX_CELLS / GROUP_CELLS: into how many parts its vectors and its queries are dealt out.
+        at = placed.select(F.explode("areas").alias("at"), "area")
+        sizes = at.groupBy("at").agg(F.ceil(F.sum((F.col("at") == F.col("area")).cast("long")) / GROUP_VECTORS).alias("rows"), F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).alias("columns"))
+        sizes = F.broadcast(materialize(sizes.select("at", F.greatest("rows", F.lit(1)).cast("int").alias("rows"), F.col("columns").cast("int").alias("columns")), "vector-parts"))
+        row, column = (F.pmod(F.xxhash64("rep", F.lit(i)), F.col(n)).cast("int") for i, n in enumerate(("rows", "columns")))
+        sent = placed.select(F.explode("areas").alias("at"), "area", "home", "cells", "rep", "unit").join(sizes, "at").withColumns({"row": row, "column": column})
+        # A vector goes to all tasks of its own row in its home area, where it is sought as well, and to all tasks of its column in
+        # every area in which it is sought.
+        own = F.col("at") == F.col("area")
+        cross = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("column").alias("c"), (own & (r == F.col("row"))).alias("held"), F.lit(True).alias("asks")))
+        along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.col("row").alias("r"), c.alias("c"), F.lit(True).alias("held"), F.lit(False).alias("asks")))
+        goes = F.when(own, F.concat(cross, F.filter(along, lambda x: x["c"] != F.col("column")))).otherwise(cross)
+        sent = sent.select("at", "home", "cells", "rep", "unit", F.explode(goes).alias("to"))
+        sent = sent.select("at", F.col("to.r").alias("r"), F.col("to.c").alias("c"), F.when(F.col("to.held"), F.col("home")).otherwise(F.lit(-1)).alias("home"), F.when(F.col("to.asks"), F.col("cells")).alias("cells"), "rep", "unit")
 
         def within(key: tuple, table: pa.Table) -> pa.Table:
             centres, area_of = shared.value
@@ -248,7 +281,7 @@ class VectorIndex:
             query, other, cosine = best_of(*(np.concatenate(x) for x in zip(*out)), k)
             return pa.table({"rep": query, "other": other, "cosine": cosine})
 
-        found = data.unionByName(asks).groupBy("at", "part").applyInArrow(within, "rep long, other long, cosine double")
+        found = sent.groupBy("at", "r", "c").applyInArrow(within, "rep long, other long, cosine double")
         best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
         return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "cosine")
 
@@ -267,15 +300,13 @@ class VectorIndex:
         return mine.unionByName(late)
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """(pos, other, cosine): the k nearest of each query among all vectors. ``queries`` holds positions (``pos``) of this index;
-        they are dealt with in blocks of at most :data:`QUERY_BLOCK`, each sent to the executors, which keep k candidates a query and batch."""
+        """(pos, other, cosine): the k nearest of each query among all vectors. ``queries`` holds positions (``pos``) of this index. Up to
+        :data:`QUERY_BLOCK` of them are sent to the executors, which keep k candidates a query and task; more are dealt out to blocks, and each
+        block meets each part of the vectors in a task of its own."""
         asked = self.rows.join(queries.select("pos").distinct(), "pos", "left_semi").dropDuplicates(["pos"])
-        blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 9 // 10)))
-        asked = materialize(asked.select("pos", "key", "v", F.pmod(F.xxhash64("pos", F.lit(self.seed)), F.lit(blocks)).cast("int").alias("block")), "vector-queries")
-        found = None
-        for block in range(blocks):
-            part = self._scan(asked.where(F.col("block") == block).select("pos", "v").toArrow())
-            found = part if found is None else found.unionByName(part)
+        asked = materialize(asked.select("pos", "v"), "vector-queries")
+        n = asked.count()
+        found = self._scan(asked.toArrow()) if n <= QUERY_BLOCK else self._grid(asked, n)
         # A query's copies stand in its own group; of other groups up to k + 1 smallest positions are known.
         groups = self.groups.select(F.col("rep").alias("other"), "heads")
         wide = found.join(groups, "other").select("pos", F.explode("heads").alias("other"), "cosine")
@@ -283,7 +314,24 @@ class VectorIndex:
         wide = wide.where(F.col("pos") != F.col("other"))
         return wide.withColumn("place", F.row_number().over(best)).where(F.col("place") <= self.k).select("pos", "other", "cosine")
 
-    def _scan(self, block: pa.Table) -> DataFrame:
+    def _grid(self, asked: DataFrame, n: int) -> DataFrame:
+        blocks, parts = -(-n // QUERY_BLOCK), -(-self.reps.count() // GRID_VECTORS)
+        dim, k, seed = self.dim, self.k, self.seed
+
+        def dealt(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
+            place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(count)).cast("int").alias(own)
+            return df.select(place, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), key, "v").groupBy("block", "part")
+
+        def meet(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+            q, v = (_unit(np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim)) if len(t) else np.zeros((0, dim)) for t in (queries, vectors))
+            found = nearest(q, queries.column(2).to_numpy(), v, vectors.column(2).to_numpy(), k + 1, -1.0, np.zeros(dim), _rotation(dim, seed), itself=True) if len(q) and len(v) else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            return pa.table({"pos": found[0], "other": found[1], "cosine": found[2]})
+
+        near = dealt(asked, "pos", "block", blocks, "part", parts).cogroup(dealt(self.reps, "rep", "part", parts, "block", blocks)).applyInArrow(meet, "pos long, other long, cosine double")
+        best = Window.partitionBy("pos").orderBy(F.desc("cosine"), "other")
+        return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+
+    def _scan(self, block: pa.Table, least: float = -1.0) -> DataFrame:
         dim, k, seed = self.dim, self.k, self.seed
         vectors = _unit(np.asarray(block.column("v").combine_chunks().flatten()).reshape(-1, dim)) if len(block) else np.zeros((0, dim))
         shared = self.spark.sparkContext.broadcast((vectors, block.column("pos").to_numpy()))
@@ -293,7 +341,7 @@ class VectorIndex:
             rotation = _rotation(dim, seed)
             kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             order = np.argsort(query_ids)
-            bar = np.full(len(queries), -1.0)
+            bar = np.full(len(queries), least)
             for batch in batches:
                 for begin in range(0, len(batch), 8192):
                     part = batch.slice(begin, 8192)

@@ -336,7 +336,7 @@ def test_vectors(table):
     index = VectorIndex(df)
     expected = brute(data, 5)
     got = defaultdict(list)
-    for r in index.expand(index.neighbours(least=0.9)).collect():
+    for r in index.expand(index.neighbours(least=0.9, recall=1.0)).collect():
         got[r["pos"]].append((r["other"], r["cosine"]))
     want = {(p, q) for p, best in expected.items() for q, s in best if s >= 0.9}
     have = {(p, q) for p, best in got.items() for q, _ in best}
@@ -358,6 +358,34 @@ def test_vectors_recall_of_all_neighbours(table):
     assert len(want & got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("cell", [512, 50, 5])
+def test_recall_of_neighbours_at_any_number_of_cells(table, monkeypatch, cell):
+    """Vectors without close neighbours, in 1, 16 and 160 cells, over one task a group and over a grid of tasks."""
+    from scrivora.llm import similar_vectors as sv
+
+    monkeypatch.setattr(sv, "CELL", cell)
+    monkeypatch.setattr(sv, "GROUP_VECTORS", 200)
+    monkeypatch.setattr(sv, "GROUP_QUERIES", 150)
+    rng = np.random.default_rng(3)
+    data = {i: (rng.standard_normal(50) + 2 * (i % 4 == 0)).tolist() for i in range(800)}
+    index = VectorIndex(table(list(data.items()), "doc_pos long, docs_ser array<double>"))
+    found = [(r["rep"], r["other"]) for r in index.neighbours().collect()]
+    want = {(p, q) for p, best in brute(data, 5).items() for q, _ in best}
+    assert len(found) == len(set(found)) <= 4000 and len(want & set(found)) >= 0.9 * len(want)
+
+
+def test_search_over_a_grid(table, monkeypatch):
+    from scrivora.llm import similar_vectors as sv
+
+    data, df = vector_table(table)
+    asked = table([(p,) for p in data], "pos long")
+    whole = rows(VectorIndex(df).search(asked))
+    monkeypatch.setattr(sv, "QUERY_BLOCK", 200)
+    monkeypatch.setattr(sv, "GRID_VECTORS", 300)
+    grid = rows(VectorIndex(df).search(asked))
+    assert [r[:2] for r in grid] == [r[:2] for r in whole]
+
+
 def test_vectors_empty(table):
     index = VectorIndex(table([], "doc_pos long, docs_ser array<double>"))
     assert index.expand(index.neighbours()).count() == 0
