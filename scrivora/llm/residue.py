@@ -15,34 +15,35 @@ from scrivora.llm.ascii_terms import slices
 
 KINDS = ("placeholder", "unfilled_value", "filler", "error_page", "script_notice")
 
-_NAME = r"[^\W\d_][\w .\-]{0,40}?"
-#: One grammar per pair of delimiters. All gaps are bounded, so that no text costs more than its length.
+_NAME = r"[^\W\d_][\w .\-]*+"
+#: One grammar per pair of delimiters. A name may be of any length but holds no delimiter, so every text is read in time linear in its length.
 PLACEHOLDERS = tuple(
     re.compile(p)
     for p in (
-        r"\{\{\{\s{0,3}" + _NAME + r"\s{0,3}(?:\|[^{}]{0,40})?\}\}\}",
-        r"(?<!\{)\{\{\s{0,3}" + _NAME + r"\s{0,3}(?:\|[^{}]{0,40})?\}\}(?!\})",
-        r"<%[=\-]?\s{0,3}" + _NAME + r"\s{0,3}-?%>",
-        r"\{%\s{0,3}" + _NAME + r"\s{0,3}%\}",
-        r"[#$]\{\s{0,3}" + _NAME + r"\s{0,3}\}",
-        r"(?<![\w{$#%])\{[^\W\d_]\w{2,40}\}(?!\})",
-        r"(?<![\w$])\$[^\W\d_][\w]{2,40}\$(?![\w$])",
-        r"(?<![\w%])%[^\W\d_][\w]{2,40}%(?![\w%])",
-        r"<<\s{0,3}" + _NAME + r"\s{0,3}>>",
-        r"(?<!\w)__[^\W\d_][\w ]{1,40}?__(?!\w)",
-        r"@@\s{0,3}" + _NAME + r"\s{0,3}@@",
-        r"(?<![\w:])::\s{0,3}" + _NAME + r"\s{0,3}::(?![\w:])",
-        r"\[(?i:insert|your|enter|add|type|fill in)\s{1,3}" + _NAME + r"\s{0,3}\]",
-        r"\[" + _NAME + r"\s{1,3}(?:HERE|here|GOES HERE|goes here)\]",
-        r"\(" + _NAME + r"\s{1,3}(?:goes here|GOES HERE|HERE)\)",
+        r"\{\{\{\s*+" + _NAME + r"(?:\|[^{}\n]*+)?\}\}\}",
+        r"(?<!\{)\{\{\s*+" + _NAME + r"(?:\|[^{}\n]*+)?\}\}(?!\})",
+        r"<%[=\-]?\s*+[^\W\d_](?:[\w .]|-(?!%>))*+-?%>",
+        r"\{%\s*+" + _NAME + r"%\}",
+        r"[#$]\{\s*+" + _NAME + r"\}",
+        r"(?<![\w{$#%])\{[^\W\d_]\w\w++\}(?!\})",
+        r"(?<![\w$])\$[^\W\d_]\w\w++\$(?![\w$])",
+        r"(?<![\w%])%[^\W\d_]\w\w++%(?![\w%])",
+        r"<<\s*+" + _NAME + r">>",
+        r"(?<!\w)__[^\W\d_](?:_?[^\W_]| )++__(?!\w)",
+        r"@@\s*+" + _NAME + r"@@",
+        r"(?<![\w:])::\s*+" + _NAME + r"::(?![\w:])",
+        r"\[(?i:insert|your|enter|add|type|fill in|wstaw|wpisz|dodaj|podaj|twoj[ea]|ihre?|insérer|insérez|entrez|votre|insertar|inserte|escriba|su|inserisci|inserire|scrivi|il tuo|la tua) [^\[\]\n]*+\]",
+        r"\[[^\W\d_](?:[\w .\-](?! (?:HERE|here|GOES|goes|einfügen|EINFÜGEN|eintragen|tutaj|ici|aquí|qui)\]| (?:GOES HERE|goes here)\]))*+[\w .\-] (?:HERE|here|GOES HERE|goes here|einfügen|EINFÜGEN|eintragen|tutaj|ici|aquí|qui)\]",
+        r"\([^\W\d_](?:[\w .\-](?! (?:GOES HERE|goes here|HERE)\)))*+[\w .\-] (?:goes here|GOES HERE|HERE)\)",
     )
 )
+_DUNDER = PLACEHOLDERS[9].pattern
 _OPENERS = ("{{{", "{{", "<%", "{%", "{", "{", "$", "%", "<<", "__", "@@", "::", "[", "[", "(")
 _VALUE = r"(?:undefined|null|NULL|None|nil|NaN|nan|N/A|n/a|TBD|TBA|TODO|X{3,}|x{3,}|\?{3,}|%[sdif]|\{\d\}|\$\d|#(?:REF|VALUE|NAME|NULL|NUM|DIV/0|N/A)[!?]?|\[object Object\])"
 #: A label with a value that was never filled, and a sentence whose subject and object were not.
 UNFILLED = (
-    re.compile(r"(?:^|[;.\n>|])[ \t]{0,4}[^\W\d_][\w ]{0,24}:[ \t]{0,4}" + _VALUE + r"[ \t]{0,4}(?=[;.,\n|]|$)"),
-    re.compile(r"(?<!\S)(" + _VALUE + r") [^\W\d_]\w* \1(?=[.;,\n]|$)"),
+    re.compile(r"(?:^|[;.\n>|])[ \t]*+[^\W\d_][\w ]*+:[ \t]*+" + _VALUE + r"(?=[ \t]*+(?:[;.,\n|]|$))"),
+    re.compile(r"(?<!\S)(" + _VALUE + r") [^\W\d_]\w*+ \1(?=[.;,\n]|$)"),
 )
 #: Words of the usual pseudo-Latin filler.
 FILLER_WORDS = frozenset(
@@ -65,40 +66,114 @@ FILLER = re.compile(
     r"|\b(?:fai (?:doppio )?clic|fare clic|clicca|tocca|cliccare|toccare)\b[^.!?\n]{0,50}\b(?:modificare|cambiare|modifica)\b|testo (?:di esempio|segnaposto|di prova|provvisorio|fittizio)|" + _TOPIC + r"[^.!?\n]{0,25}\bda (?:scrivere|inserire|completare|sostituire)|" + _TOPIC + r"[^.!?\n]{0,25}(?:in arrivo|\bqui\b|\bpresto\b)|\bqui\b[^.!?\n]{0,25}" + _TOPIC + r"|\b(?:inserisci|incolla|scrivi)\b",
     re.I,
 )
-#: Sentences of error pages and blocks, by language. They only count where they make up the document.
-ERROR = re.compile(
-    r"\b(?:error|status|http|code|błąd|fehler|erreur|errore)\b[^.!?\n]{0,12}\b[45]\d\d\b|\b[45]\d\d\b[ :\-–—]{1,3}(?:not found|forbidden|gone|bad gateway|bad request|gateway time-?out|internal server error|service unavailable|too many requests|unauthorized|proxy|request time-?out)"
-    r"|traceback|uncaught|unhandled|\bexception\b|fatal error|parse error|syntax error|\bwarning: |on line \d+|segmentation|stack trace|\b\w+error: "
-    r"|not be found|not found|no longer (?:here|exists|available)|does not exist|nothing lives|looked everywhere|search instead|^go back|return to the (?:main|home|front)|has been (?:moved|deleted|removed|blocked|suspended)|(?:requested|wanted) (?:page|entry|article)"
-    r"|went wrong|oops|unexpected error|internal error|try again|retry|come back (?:in|later|soon)|reload in|slow down|rate limit|too many|unusual traffic|not allowed|access denied|forbidden|permission|insufficient|log in to|sign in to|logged in"
-    r"|(?:session|connection|request)\b[^.!?\n]{0,12}\b(?:timed out|expired|reset|lost|refused|failed)|upstream|gateway|query aborted|backend|database is|read-only|temporarily|unavailable|offline|while we|maintenance|overload|(?:request|reference|incident|ray|trace)(?: id)?:? [0-9a-f]{6,}|checking (?:your|that|if)|verify(?:ing)? (?:that )?you"
-    r"|błąd \d|(?:wewnętrzny|nieoczekiwany|krytyczny) błąd|błąd (?:wewnętrzny|nieoczekiwany|krytyczny|serwera)|nie znaleziono|nie istnieje|usunięto|przeniesiono|brak (?:uprawnień|hasła|dostępu|strony)|niewystarczając|odmowa|poszło nie tak|nieczynn|niedostępn|prac technicznych|przeciążeni|spróbuj|zaloguj|zbyt wiele"
-    r"|fehler \d|(?:interner|unerwarteter|schwerer) fehler|serverfehler|nicht gefunden|gibt es nichts|existiert nicht|gelöscht|nicht erreichbar|wartung|überlast|anmelden|verweigert|gesperrt|berechtigung|unzureichend|versuchen sie|kennung [0-9a-f]+|schiefgelaufen|schief gegangen|zu viele"
-    r"|erreur \d|erreur (?:interne|inattendue|fatale|du serveur)|introuvable|rien à l.adresse|n.existe p|supprimée|accès (?:refusé|interdit)|insuffisant|connexion requise|connectez-vous|indisponible|surcharge|réessayez|revenez|passé quelque chose|trop de requêtes"
-    r"|error \d|error (?:interno|inesperado|fatal|del servidor)|no se encontró|nada en|no existe|eliminad[oa]|acceso (?:denegado|prohibido)|insuficiente|mantenimiento|sobrecarga|inténtelo|vuelva|inicie sesión|no disponible|salió mal|demasiadas|permiso"
-    r"|errore \d|errore (?:interno|imprevisto|fatale|del server)|non trovata|non trovato|non esiste|niente a|nulla a|accesso (?:negato|vietato)|insufficient|manutenzione|sovraccarico|riprova|torna (?:più|tra|domani)|accedi|non disponibile|andato storto|troppe richieste|permess",
-    re.I,
+
+def _words(*of: str) -> str:
+    return r"\b(?:" + "|".join(x for line in of for x in line.split("  ")) + r")\b"
+
+
+# A message is told by what its sentences are about, not by their wording: some part of a system, a failure of it, the reader who is
+# addressed, an instruction, a status. Word classes for English, Polish, German, French, Spanish and Italian, two blanks between words.
+
+#: What a message speaks of.
+SYSTEM = _words(
+    "pages?  wiki  viewer  (?:web ?)?sites?  servers?  services?  hosts?  connections?  network  requests?  sessions?  databases?  applications?  app  browsers?  accounts?  login  content  resources?  files?  links?  url  address  domain  entry  article  query  backend  upstream  proxy  clients?  traffic  access  permissions?  errors?  limit",
+    r"stron\w*  serwis\w*  serwer\w*  portal\w*  usług\w*  połączeni\w*  żądani\w*  sesj\w*  bazy?  aplikacj\w*  przeglądark\w*  kont[oa]  zas[oó]b\w*  treś\w*  plik\w*  adres\w*  hasł\w*  błęd\w*  błąd  dostęp\w*  uprawnie\w*",
+    r"(?:web)?seiten?  servers?  dienst\w*  (?:datenbank|server|netz)?verbindung\w*  anfragen?  sitzung  datenbank\w*  anwendung  konto  inhalte?s?  dateie?n?  adresse  artikels?  blatt  fehlers?  zugriffs?  zugang  berechtigung\w*  recht\w*",
+    r"serveurs?  connexion  réseau  requêtes?  base de données  application  navigateur  compte  contenus?  fichiers?  adresse  ressources?  erreurs?  accès  droits?",
+    r"páginas?  sitio  servidor\w*  servicios?  conexión  red  solicitud\w*  petici\w+  sesión  base de datos  aplicación  navegador  cuenta  contenidos?  archivos?  dirección  recursos?  artículos?  acceso  permisos?",
+    r"pagin[ae]  sito  servizio  connessione  rete  richiest[ae]  sessione  applicazione  contenut[oi]  indirizzo  risors[ae]  voce  articol[oi]  errori?e?  accesso  permess[oi]",
+)
+#: What befalls it.
+FAILURE = _words(
+    r"not(?: be)? (?:found|available|exist|allowed|permitted|authori[sz]ed|reachable|responding|responded|load(?:ed)?|display(?:ed)?|shown|process(?:ed)?|complete[d]?|reach(?:ed)?|open(?:ed)?|have  here)  n['o’]t (?:found|available|exist|load|display|show|open|reach|process|have)  cannot  can['’]t  can not  could(?: not|n['’]t)  unable  unavailable  unreachable  no longer  no such  nothing  fail(?:ed|ure|s)  denied  forbidden  refused  rejected  expired  timed out  time-?out  (?:been|is|are|was|were|connection|session) (?:lost|moved|deleted|removed|blocked|suspended|disabled|interrupted|closed)  (?:limit|quota) (?:reached|exceeded)  interrupted  aborted  reset  closed (?:early|unexpectedly|by)  no (?:reply|response|answer)  down  offline  read-only  maintenance  overload(?:ed)?  unexpected  internal  wrong  problems?  difficult(?:y|ies)  exceeded  too many  unusual  temporarily  invalid  missing  broken  unauthori[sz]ed  insufficient  crashed",
+    r"nie (?:znaleziono|istnieje|można|działa|ma|masz|udało|odpowiada|jest dostępn\w*)  niedostępn\w*  nieczynn\w*  nieoczekiwan\w*  wewnętrzn\w*  brak\w*  odmow\w*  odrzucon\w*  wygas\w*  przerwan\w*  utracon\w*  zablokowan\w*  usunięt\w*  przeniesion\w*  przeciąż\w*  prac(?:e|ach)? technicznych?  awari\w*  problem\w*  zbyt wiele  przekroczon\w*  niewystarczając\w*",
+    r"nicht (?:gefunden|verfügbar|erreichbar|erlaubt|gestattet|geladen|möglich|mehr|angezeigt)  existiert nicht  gibt es nicht\w*  unerwartet\w*  intern\w*  verweigert  abgelehnt  abgelaufen  unterbrochen  verloren  gesperrt  gelöscht  entfernt  verschoben  wartung\w*  überlast\w*  störung\w*  problem\w*  zu viele  überschritten  unzureichend\w*  fehlgeschlagen  außer betrieb",
+    r"introuvables?  indisponibles?  inaccessible  n['’]existe (?:pas|plus)  n['’]est (?:pas|plus)  ne (?:peut|répond)  impossible  rien  refusée?  interdite?  expirée?  interrompue?  perdue?  bloquée?  supprimée?  déplacée?  maintenance  surcharge  inattendue?  interne  pannes?  problèmes?  trop de  dépassée?  insuffisants?e?s?  échou\w+  échec",
+    r"no (?:encontrad[oa]|se encontró|existe|disponible|está|se puede|se pudo|responde|autorizad[oa]|tiene)  no se ha  inesperad[oa]  interno  nada  denegad[oa]  prohibid[oa]  rechazad[oa]  caducad[oa]  interrumpid[oa]  perdid[oa]  bloquead[oa]  eliminad[oa]  movid[oa]  mantenimiento  sobrecarga\w*  problemas?  demasiad[oa]s  superad[oa]  insuficientes?  fall[óo]  fallid[oa]  imposible",
+    r"non (?:trovat[oa]|esiste|disponibile|è|raggiungibile|risponde|autorizzat[oa]|si può|hai|consentit[oa])  imprevist[oa]  intern[oa]  niente  nulla  negat[oa]  vietat[oa]  rifiutat[oa]  scadut[oa]  interrott[oa]  pers[oa]  bloccat[oa]  eliminat[oa]  rimoss[oa]  spostat[oa]  manutenzione  sovraccaric\w+  guast[oi]  problem[ai]  tropp[ei]  superat[oa]  insufficienti?e?  fallit[oa]  impossibile",
+)
+#: The reader, or the moment.
+ADDRESS = _words(
+    r"you  your  please  kindly  sorry  we  our  this (?:page|site|website|content|app|application|service|article|link|feature)  to (?:continue|view|proceed|see|load)  this \w+(?= (?:needs|requires|relies|cannot|depends))  currently  right now  at the moment  later  again  requested  wanted",
+    r"proszę  prosimy  przepraszamy  twoj\w+  t[aeęy]j? (?:stron\w*|aplikacj\w*|treś\w*)  aby  ponownie  później  chwilowo  tymczasowo  obecnie",
+    r"bitte  sie  ihre?[nmrs]?  diese[rsn]? (?:seite|anwendung|inhalt|dienst|website|webseite)  derzeit  erneut  später  vorübergehend  leider  wir",
+    r"veuillez  vous  votre  cette (?:page|application)  ce (?:site|contenu|service)  désolés?  nous  ultérieurement  actuellement  momentanément  temporairement  pour (?:continuer|afficher|voir)",
+    r"por favor  usted  su (?:navegador|cuenta|sesión)  esta (?:página|aplicación)  este (?:sitio|contenido|servicio)  lo sentimos  inténtelo  más tarde  actualmente  temporalmente  para (?:continuar|ver)",
+    r"per favore  questa (?:pagina|applicazione)  questo (?:sito|contenuto|servizio)  tuo  spiacenti  siamo  riprova  più tardi  momentaneamente  al momento  per (?:continuare|visualizzare|vedere)",
+)
+#: Instructions with which a sentence begins.
+ACTION = (
+    r"^\W*(?:(?:you must|bitte|please|por favor|per favore|prosimy|proszę)\s+)?(?:go back|return to|try|retry|wait|reload|refresh|come back|check (?:your|that|the)|checking (?:your|that|if)|contact|log in|sign in|slow down|search instead"
+    r"|spróbuj|odśwież|wróć|zaloguj|poczekaj|zaczekaj|sprawdź|versuchen|laden sie|melden sie|zuerst anmelden|anmelden|kehren|warten|prüfen|réessayez|veuillez|rechargez|revenez|connectez|patientez|vérifiez"
+    r"|inténtelo|vuelva|intente|recargue|inicie sesión|espere|compruebe|regrese|riprova|torna|ricarica|accedi|attendi|controlla|effettua)\b"
+)
+#: What needs no company: a status with its phrase, the marks of a program that broke off, and the idioms of failure.
+STATUS = (
+    r"\b(?:error|status|http|code|błąd|fehler|erreur|errore)\W{1,3}(?:\w+\W{1,3})?[45]\d\d\b|\b[45]\d\d\W{1,4}(?:not found|forbidden|gone|bad gateway|bad request|gateway time-?out|internal server error|service unavailable|too many requests|unauthorized|request time-?out)"
+    r"|traceback \(|(?:uncaught|unhandled) \w+|fatal error|parse error|syntax error|\b\w+(?:error|exception): |\b(?:warning|failed|aborted|exception): |\bon line \d+|segmentation fault|stack trace|core dumped"
+    r"|\b(?:unexpected|internal|unknown) (?:server )?error\b|nieoczekiwany błąd|wewnętrzny błąd|błąd (?:wewnętrzny|nieoczekiwany|serwera)|(?:unerwarteter|interner) fehler|erreur (?:interne|inattendue)|error (?:interno|inesperado)|errore (?:interno|imprevisto)"
+    r"|(?:something|things) (?:has |have )?(?:went|gone) wrong|poszło nie tak|schief ?ge(?:laufen|gangen)|(?:mal passé|mal tourné)|passé quelque chose|salió mal|andato storto"
+    r"|(?:error|problem|błąd|fehler|störung|erreur|panne|problème|errore|problema|guasto|fallo|awaria)\b(?:\W+\w+)?\W+(?:occurred|aufgetreten|survenue?|verificat[oa])|(?:wystąpi[łl][ao]?|se (?:ha producido|produjo)) (?:\w+ )?(?:błąd|awaria|problem|error|fallo|problema)"
+    r"|(?:access|permission|dostęp\w*|zugriff|accès|acceso|accesso) (?:denied|forbidden|refused|zabroniony|verweigert|refusé|interdit|denegado|prohibido|negato|vietato)|odmowa dostępu"
+    r"|\byou (?:are not (?:allowed|permitted|authori[sz]ed)|do not have (?:permission|access))|\b(?:connexion|login|authentication|anmeldung|logowanie|inicio de sesión|accesso) (?:(?:is|ist|jest|est|es|è) )?(?:required|requise|erforderlich|wymagane|requerido|richiesto)\b"
+    r"|\b(?:technical (?:difficult\w+|problems?|errors?|issues?)|problem\w* techniczn\w+|technische[nrs]? (?:problem\w*|störung\w*|schwierigkeiten)|(?:problèmes?|difficultés?|erreurs?) techniques?|(?:problemas?|dificultades|errore?s) técnic[oa]s?|(?:problem[ai]|difficoltà|errori?e?) tecnic[oahi]{1,2})\b"
+    r"|\b(?:bitte|please|veuillez|por favor|per favore|prosimy|proszę)\s+(?:\w+\s+){0,2}?(?:log in|sign in|try again|anmelden|vous connecter|réessayer|iniciar sesión|accedere|riprovare|(?:się )?zalogować|spróbować)\b"
+    r"|\b(?:request|reference|incident|ray|trace|kennung)(?: id)?:? [0-9a-f]{6,}|\b(?:that|whether|if) you are (?:a )?(?:human|not a robot)"
 )
-#: Sentences that want scripts, by language.
-SCRIPT = re.compile(r"\bjava ?script|\bno-?script|\bjs\b|\bscript(?:s|ing)?\b|\bskript|\bskrypt|\bcookies?\b|\b(?:your|browser) settings|\bturn (?:it|them) on\b", re.I)
+#: Scripts, and that they are wanted.
+SCRIPT = r"\bjava ?script\w*|\bno-?script\b|\bjs\b|\bscript(?:s|ing)?\b|\bskript\w*|\bskrypt\w*|\bcookies?\b|\bciasteczk\w*"
+NEED = _words(
+    r"enabled?  enabling  allow(?:ed|s)?  activated?  turn(?:ed)? (?:it |them )?(?:on|off)  switch(?:ed)? (?:it |them )?(?:on|off)  needs?  requires?d?  relies on  depends on  must  cannot  without  no  disabled  blocked  blocks  off  unsupported  necessary",
+    r"włącz\w*  uruchom\w*  odblokuj\w*  wymaga\w*  zezw\w*  aktywuj\w*  obsług\w*  potrzebuj\w*  blokuj\w*  wyłączon\w*  bez  musi\w*  konieczn\w*",
+    r"aktivier\w*  erlaub\w*  benötig\w*  erforderlich  müssen  muss  einschalten  zulassen  ohne  deaktiviert  blockiert  braucht  brauchen",
+    r"active[zr]  autoris\w+  exige\w*  nécessit\w+  requi\w+  sans  désactivés?  bloqués?  doi(?:t|vent)  besoin",
+    r"active  activar  activad[oa]s?  permita  permitid[oa]s?  permitir  necesita\w*  requier\w+  habilit\w+  desactivad[oa]s?  bloquead[oa]s?  sin  debe\w*  estén",
+    r"abilita\w*  attiva\w*  consent\w+  richied\w+  necessari\w*  disattivat\w+  disabilitat\w+  bloccat\w+  senza  deve  devono  serve  servono",
+)
+#: Marks of a report: a year, and verbs that tell what was.
+REPORT = r"\b(?:in|since|from|until|od|w|seit|im|bis|en|depuis|jusqu'en|desde|hasta|nel|dal|fino al)\W(?:1\d\d\d|20\d\d)\b|" + _words(
+    r"was  were  had  went  became  became  built  gave  began  był[aoy]?  byli  został[aoy]?  zbudowan\w*  war  waren  wurden?  hatten?  était  étaient  fut  furent  avait  fue  fueron  era  eran  había  furono  erano  aveva  stato  stata"
+)
+_BROWSER = re.compile(r"\b(?:browser\w*|settings|przeglądar\w+|ustawieni\w+|einstellungen|navigateur|paramètres|navegador|ajustes|impostazioni)\b", re.I)
+_PATH = r"(?<![\w/:])/\w+/\S+|\([45]\d\d\)"
+_CLASSES = {name: re.compile(p, re.I) for name, p in (("system", SYSTEM), ("failure", FAILURE), ("address", ADDRESS), ("action", ACTION), ("status", STATUS), ("script", SCRIPT), ("need", NEED), ("report", REPORT), ("path", _PATH))}
+#: Words of a text that one cue for a message, at least, has to speak for.
+CUE_WORDS = 80
 
 _FENCES = re.compile(r"```.*?```|~~~.*?~~~", re.S)
-_QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^”“\n]{1,200}[”“]|«[^»\n]{1,200}»|‘[^’\n]{1,200}’|(?<!\w)'(?=\S)[^'\n]{1,200}(?<=\S)'(?!\w)")
+#: Lines set in by four blanks or a tab, after an empty line or one that ends in a colon.
+_SET_IN = re.compile(r"((?:^|\n)[^\n]*:[ \t]*|(?:^|\n)[ \t]*)\n(?:(?: {4}|\t)[^\n]*(?:\n|$))+")
+_QUOTED = re.compile(r"`[^`\n]++`|\"[^\"\n]++\"|“[^“”\n]++”|„[^„“”\n]++[”“]|«[^«»\n]++»|‘[^‘’\n]++’|(?<!\w)'(?=\S)[^'\n]++(?<=\S)'(?!\w)")
+#: A sentence about code, in which a name between double underscores is a name.
+CODE = re.compile(r"\b(?:python|class(?:es)?|module|klas[ay]|moduł|klasse|modul|classe|clase|módulo|modulo)\b|\b(?:method|function|attribute|metoda|funkcja|atrybut|methode|funktion|attribut|méthode|fonction|método|función|atributo|metodo|funzione|attributo)\W+(?:called |named )?__", re.I)
 #: A sentence that explains templates; what it shows is no residue.
-TUTORIAL = re.compile(r"\b(?:template engine|in such templates|marker|placeholders?|syntax|is (?:later )?replaced by|stands for|example|notation|snippet)\b", re.I)
+TUTORIAL = re.compile(
+    _words(
+        r"templates?  template engine  markers?  placeholders?  syntax  (?:is|are|gets?) (?:later )?(?:replaced|substituted)  stands for  examples?  notation  snippets?  variables?",
+        r"szablon\w*  symbol\w* zastępcz\w*  znacznik\w*  składni\w*  zastępowan\w*  zastąpion\w*  przykład\w*  zmienn\w*",
+        r"vorlagen?  platzhaltern?  syntax  ersetzt  beispiele?n?  markierung\w*  schreibweise  variablen?",
+        r"modèles?  gabarits?  balises?  marqueurs?  syntaxe  remplacée?s?  exemples?",
+        r"plantillas?  marcador\w*  sintaxis  se sustituyen?  sustituid[oa]s?  se reemplazan?  reemplazad[oa]s?  ejemplos?  notación",
+        r"modell[oi]  segnaposto  sintassi  sostituit[oaie]  esemp[io]+  notazione  variabil[ei]",
+    ),
+    re.I,
+)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+|\n+")
 _BRACKETED = re.compile(r"[\[(][^\[\]()\n]{0,60}[\])]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a text must hold to be looked at for the kinds of residue: linear-time automata over whole Arrow columns, which pass over most
 #: texts. Each holds whenever the finer expressions above can match, as these contain one of its words or signs.
-_SIGNS = r"\{\{|<%|\{%|[#$]\{|\{\pL|\$\pL|%\pL|<<|__|@@|::|(?i:\[(?:insert|your|enter|add|type|fill in)\s|\shere[\])])"
+_SIGNS = r"\{\{|<%|\{%|[#$]\{|\{\pL|\$\pL|%\pL|<<|__|@@|::|\[\pL|(?i:\shere\))"
 _VALUES = r"undefined|null|NULL|None|nil|NaN|nan|N/A|n/a|TBD|TBA|TODO|XXX|xxx|\?\?\?|%[sdif]|\{\d\}|\$\d|#(?:REF|VALUE|NAME|NULL|NUM|DIV|N/A)|\[object"
 _LATIN = "(?i)" + "|".join(sorted(w for w in FILLER_WORDS if len(w) >= 5))
 
 
 def _without_shown(text: str) -> str:
     """The text without code blocks and quotations."""
-    return _QUOTED.sub(" ' ", _FENCES.sub("\n", text))
+    text = _FENCES.sub("\n", text)
+    if "\n    " in text or "\n\t" in text:
+        text = _SET_IN.sub(r"\1\n", text)
+    return _QUOTED.sub(" ' ", text)
 
 
 def placeholders(text: str) -> int:
@@ -111,7 +186,7 @@ def placeholders(text: str) -> int:
     if not grammars:
         return 0
     for sentence in _SENTENCE.split(text):
-        here = sum(len(p.findall(sentence)) for p in grammars)
+        here = sum(len(p.findall(sentence)) for p in grammars if not (p.pattern == _DUNDER and CODE.search(sentence)))
         if TUTORIAL.search(sentence):
             explained += 1
         else:
@@ -132,6 +207,35 @@ def has_filler(text: str, latin: bool = True, stand_in: bool = True) -> bool:
     return False
 
 
+def sentence_kind(sentence: str) -> str | None:
+    """``script_notice`` or ``error_page`` if a sentence is one of such a message.
+
+    A status, an idiom of failure or an instruction at its begin is enough, unless the sentence reports of the past. Otherwise a part of a
+    system and a failure must come together, and what speaks for a message (these, an address to the reader, a path) must outweigh what
+    speaks for a report. For scripts, the word and the want must come together with an address, a second want, or a system.
+    """
+    count = {name: len(_CLASSES[name].findall(sentence)) for name in ("status", "script", "failure", "action", "path", "address")}
+    if not any(count[name] for name in ("status", "script", "failure", "action", "path")) and not (count["address"] and _BROWSER.search(sentence)):
+        return None
+    count |= {name: len(_CLASSES[name].findall(sentence)) for name in ("system", "need", "report")}
+    report = min(2, count["report"]) if not count["status"] else 0
+    if count["script"]:
+        bare = "noscript" in sentence.lower()
+        wanted = min(2, count["need"]) + sum(min(1, count[name]) for name in ("address", "system", "action")) + 2 * bare + (":" in sentence and count["need"] > 0)
+        if (count["need"] or bare) and wanted - report >= 2:
+            return "script_notice"
+    if count["need"] and count["address"] and _BROWSER.search(sentence) and not report:
+        return "script_notice"
+    if count["status"] or (count["action"] or count["path"] and count["address"]) and not report:
+        return "error_page"
+    # A path stands for a part of a system.
+    if (count["system"] or count["path"]) and count["failure"]:
+        told = min(2, count["system"]) + min(2, count["failure"]) + min(1, count["address"]) + min(1, count["path"])
+        if told - report >= 2:
+            return "error_page"
+    return None
+
+
 def message_kind(sentences: list[str], hints: list[bool] | None = None) -> str | None:
     """``error_page`` or ``script_notice`` if such sentences make up the document; titles, lists of links and
     reference marks aside. ``hints`` say which sentences can be of that kind at all."""
@@ -140,10 +244,10 @@ def message_kind(sentences: list[str], hints: list[bool] | None = None) -> str |
         words = len(_WORD.findall(sentence))
         if not words:
             continue
-        likely = hints is None or hints[i]
-        if likely and SCRIPT.search(sentence):
+        kind = sentence_kind(sentence) if hints is None or hints[i] else None
+        if kind == "script_notice":
             script += words
-        elif likely and ERROR.search(sentence):
+        elif kind == "error_page":
             error += words
         elif not _is_frame(sentence):
             prose += words
@@ -193,16 +297,17 @@ def _holds(texts: pa.Array, pattern: str, ignore_case: bool = False) -> np.ndarr
 def _loose(pattern: str) -> str:
     """A pattern for the automaton that matches wherever ``pattern`` does: without word boundaries, which the automaton
     knows for ASCII only, and with unbounded gaps, which keep it small."""
-    return re.sub(r"\{0,\d+\}", "*", pattern.replace(r"\b\w+", "").replace(r"\b", ""))
+    return re.sub(r"\{0,\d+\}", "*", pattern.replace(r"\b", ""))
 
 
-_STAND_IN, _MESSAGE = _loose(FILLER.pattern), _loose(f"{ERROR.pattern}|{SCRIPT.pattern}")
+_STAND_IN = _loose(FILLER.pattern)
+_CUES = re.sub(r"\(\?<[!=][^)]*\)", "", _loose("|".join((FAILURE, ACTION, STATUS, SCRIPT, _PATH, _BROWSER.pattern)).replace(r"^\W*", "")))
 
 
 def _messages(rows: list[int], plain: list[str]) -> dict[int, str]:
     """The kinds of the rows whose text is a message. All their sentences pass the automaton in one go."""
     cut = [_SENTENCE.split(plain[i]) for i in rows]
-    likely = _holds(pa.array([s for sentences in cut for s in sentences], pa.large_string()), _MESSAGE, True).tolist()
+    likely = _holds(pa.array([s for sentences in cut for s in sentences], pa.large_string()), _CUES, True).tolist()
     found, at = {}, 0
     for i, sentences in zip(rows, cut):
         kind = message_kind(sentences, likely[at : at + len(sentences)])
@@ -220,7 +325,8 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = _holds(texts, _VALUES)
             latin = _holds(texts, _LATIN)
             stand_in = _holds(texts, _STAND_IN, True)
-            message = _holds(texts, _MESSAGE, True)
+            cues = pc.count_substring_regex(texts, _CUES, ignore_case=True).to_numpy(zero_copy_only=False)
+            message = (cues > 0) & (cues * CUE_WORDS > pc.count_substring(texts, " ").to_numpy(zero_copy_only=False))
             plain = texts.to_pylist()
             latin |= [repeats_itself(t) for t in plain]
             look = signs | values | latin | stand_in | message
@@ -240,7 +346,8 @@ def template_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Kinds: ``placeholder`` (an unfilled place, by one grammar per pair of delimiters), ``unfilled_value`` (a label or sentence
     with a value that was never filled), ``filler`` (a paragraph of it), ``error_page`` and ``script_notice`` (sentences of that
-    kind make up the document). Code blocks, quotations and sentences that explain templates are discounted.
+    kind make up the document). Code blocks, quotations and sentences that explain templates or code are discounted, as are sentences that report
+    of the past. Messages are sought in texts that hold a cue for one in every :data:`CUE_WORDS` words.
 
     Texts are judged where they lie, without any shuffle. Defined cases: null, empty and short texts as such are no residue;
     a row that comes twice is reported twice; a null identifier is kept; an empty table gives no rows; other columns are ignored.

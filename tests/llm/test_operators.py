@@ -477,6 +477,43 @@ def test_kneser_ney_sums_to_one():
         ("The survey found 404 mills; the error of the older map was 9 metres, and access was difficult.", []),
         ("A plain sentence about a river.", []),
         ("", []),
+        # Prose that uses the words of messages.
+        ("The old station went offline in 1950.", []),
+        ("The gateway of the town was built in 1300. It is the oldest gateway.", []),
+        ("The king gave permission to build the mill. It was large.", []),
+        ("Cookies are baked with butter and sugar. They are sweet.", []),
+        ("The church service was interrupted by the war.", []),
+        ("The site was moved in 1300. The abbey was lost.", []),
+        ("The play's script requires two actors.", []),
+        ("JavaScript was created in 1995 and runs in every browser.", []),
+        ("The connection between the two towns was lost in 1820.", []),
+        ("The network of canals was down to two by 1900.", []),
+        # Messages in other wordings.
+        ("This site is experiencing technical difficulties.", ["error_page"]),
+        ("Sorry, we can't display this content right now.", ["error_page"]),
+        ("Die Verbindung zum Server wurde unterbrochen.", ["error_page"]),
+        ("Une panne est survenue.", ["error_page"]),
+        ("Nous rencontrons un problème technique. Veuillez réessayer.", ["error_page"]),
+        ("El servidor no responde.", ["error_page"]),
+        ("La pagina richiesta non esiste.", ["error_page"]),
+        ("Serwer nie odpowiada.", ["error_page"]),
+        ("Our servers are overloaded at the moment.", ["error_page"]),
+        ("HTTP 418", ["error_page"]),
+        ("You need to enable cookies to use this website.", ["script_notice"]),
+        ("Attiva JavaScript nel browser.", ["script_notice"]),
+        ("Bitte aktivieren Sie Cookies.", ["script_notice"]),
+        # Code and tutorials in all languages, and places without a limit of length.
+        ("The method __init__ is called when an object is made.", []),
+        ("W szablonie znacznik {{miasto}} jest potem zastępowany nazwą.", []),
+        ("In der Vorlage wird {{stadt}} durch den Namen ersetzt.", []),
+        ("Dans un modèle la balise {{ville}} est remplacée par le nom.", []),
+        ("En la plantilla {{ciudad}} se sustituye por el nombre.", []),
+        ("Nel modello il segnaposto {{citta}} viene sostituito dal nome.", []),
+        ("Code follows:\n    print({{name}})\nThat was all.", []),
+        ('He said "' + "a very long quotation " * 15 + '{{x}}" and left.', []),
+        ("{{the full official name of the town and its district council}}", ["placeholder"]),
+        ("The tower of [insert the full and official name of the town as it stands in the register] is old.", ["placeholder"]),
+        ("Wieża [wpisz nazwę] jest stara.", ["placeholder"]),
     ],
 )
 def test_residue(text, kinds):
@@ -490,6 +527,15 @@ def test_template_residue(table):
     assert template_residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["{{a ", "__a ", "[insert ", "“a ", "<% a ", "%a", "a: ", "`a ", "(a b "])
+def test_residue_is_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    residue(unit * 100_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_batches_agree_with_single_texts(table):
     samples = [p for c in test_residue.pytestmark for p, _ in c.args[1]]
     got = defaultdict(list)
