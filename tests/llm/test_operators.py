@@ -6,13 +6,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scrivora.llm.contamination import LeakSearch, least_matches
 from scrivora.llm.distinctiveness import term_distinctiveness
 from scrivora.llm.format_duplicates import FormatDuplicates
-from scrivora.llm.language import LanguageIdentification, LanguageModels
+from scrivora.llm.language import LanguageIdentification, LanguageModels, _sums, paragraph_bits
 from scrivora.llm.mixing import SourceMix, allot, sainte_lague
 from scrivora.llm.residue import residue, template_residue
 from scrivora.llm.similar_vectors import VectorIndex
@@ -443,6 +444,45 @@ def test_languages_empty(table):
     assert LanguageIdentification(articles, labels.limit(0)).paragraphs().count() == 0
 
 
+FOREIGN = {
+    "nl": "de oude brug bij de rivier werd gebouwd door elk dorp omdat een andere koning van dit dal zijn toren had",
+    "cs": "starý most u řeky byl postaven každou vesnicí protože jiný král tohoto údolí měl svou věž",
+    "pt": "a ponte velha perto do rio foi construída por cada aldeia porque outro rei deste vale tinha a sua torre",
+    "code": "def main args for i in range len args print args i if args startswith else sys exit import numpy as np return np zeros shape",
+    "junk": "asdf jkl qwer uiop zxcv bnm ghjk fdsa lkjh poiu ytre wqas dfgh jklz xcvb nmqw erty",
+}
+
+
+def test_languages_of_no_model_are_rejected(table):
+    articles, labels, *_ = language_tables(table)
+    models = LanguageIdentification(articles, labels, languages=tuple(SAMPLE)).models
+    rng = random.Random(9)
+    known = [(i, " ".join(rng.sample(SAMPLE[lang].split(), 17)), lang) for i, lang in enumerate([*SAMPLE] * 10)]
+    # Most of the words decide, though a third are another language's.
+    mixed = [(100 + i, " ".join(rng.sample(SAMPLE[lang].split(), 14) + rng.sample(SAMPLE["en" if lang != "en" else "de"].split(), 6)), lang) for i, lang in enumerate([*SAMPLE] * 10)]
+    foreign = [(200 + i, text, None) for i, text in enumerate(FOREIGN.values())]
+    rows_ = known + mixed + foreign
+    got = {r["id"]: r["lang"] for r in paragraph_bits(table([r[:2] for r in rows_], "id long, text string"), models).collect()}
+    assert got == {i: lang for i, _, lang in rows_}
+
+
+def test_confidence_is_calibrated():
+    """On short pieces with words that two languages share, the confidence is near the share of right answers."""
+    rng = random.Random(5)
+    shared = [f"{a}{b}{c}" for a in "bdkt" for b in "aeo" for c in "nrs"]
+    vocabulary = {x: rng.choices(shared, k=25) + [f"{p}{w}" for w in shared[:8]] for x, p in (("a", "z"), ("b", "w"))}
+    bags = {x: Counter(rng.choices(v, k=3000)) for x, v in vocabulary.items()}
+    models = LanguageModels(bags)
+    rows_, truth = [], []
+    for i in range(4000):
+        rows_.append(" ".join(rng.choices(vocabulary["ab"[i % 2]], k=rng.choice([1, 2, 3]))))
+        truth.append(i % 2)
+    bits, truth = _sums(models, pa.array(rows_))[0], np.array(truth)
+    models.calibrate_scale(bits[:2000], truth[:2000])
+    for _, n, confidence, right in models.reliability(bits[2000:], truth[2000:]):
+        assert n < 100 or abs(confidence - right) < 0.1
+
+
 def test_kneser_ney_sums_to_one():
     models = LanguageModels({"a": Counter("abba baab abab aab b".split()), "b": Counter("cab bac".split())})
     # Of all one-letter continuations of a word, the alphabet of 256 signs shares one unit of probability.
