@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scrivora.llm.ascii_terms import slices, term_counts
 from scrivora.llm.term_frequency import term_frequencies
+from scrivora.operators.skew import HOT_ROWS, hot_keys, join_salted
 from scrivora.session import materialize
 
 #: Terms whose record counts are sent to all executors: at most so many, of at most so many bytes (16 MB + counts).
@@ -92,6 +93,7 @@ def term_distinctiveness(
     min_df: int = 1,
     top_k: int | None = None,
     max_shared_terms: int = MAX_SHARED_TERMS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(id, term, tf, length, df, score) for every term of every record, or the ``top_k`` best of each.
 
@@ -102,8 +104,8 @@ def term_distinctiveness(
 
     Plan: record counts come from :func:`term_frequencies`. The most frequent terms, at most ``max_shared_terms`` of
     at most 64 bytes (16 MB), go to all executors, so their pairs are scored, and cut to ``top_k``, where the record
-    lies and are never shuffled. Pairs of all other terms are joined with the counts by a shuffle on the term;
-    as they are the rare ones, no key of that join is hot.
+    lies and are never shuffled. Pairs of all other terms are joined with the counts by a shuffle on the term: these are the
+    rare ones, and longer ones, of which those of very many records are split.
 
     Defined cases: null, empty and contentless texts give no rows but count in N; a row that comes twice counts as
     two records, and under ``top_k`` the rows of one identifier share one list; a null identifier is kept as
@@ -136,8 +138,9 @@ def term_distinctiveness(
     if not whole:
         weight = _weight_column(n, average, k1, b, smooth_idf)
         rest = counts.where((F.col("records") >= min_df) & ((F.col("records") < floor_df) | ~short)).select("term", F.col("records").alias("df"))
-        late = scored.where(F.col("df").isNull()).drop("df", "score").join(rest, "term").withColumn("score", weight)
-        scored = scored.where(F.col("df").isNotNull()).unionByName(late)
+        late = scored.where(F.col("df").isNull()).drop("df", "score")
+        late = join_salted(late, rest, "term", hot_keys(rest, "term", "df", hot_rows)).withColumn("score", weight)
+        scored = scored.where(F.col("df").isNotNull()).unionByName(late.select(scored.columns))
     if top_k is not None:
         best = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("term"))
         scored = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).drop("place")

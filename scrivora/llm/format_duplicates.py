@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from scrivora.session import materialize
 
-#: A key is hot from this many rows on, or from 1 / MAX_HOT of all rows if that is more, so at most MAX_HOT keys
-#: are hot and their table (48 bytes a key) may be sent to all executors.
-HOT_ROWS = 10_000
+#: A key is hot if it holds more than one part in so many of the rows of a task of the shuffle (or 1 / MAX_HOT of all rows, if
+#: that is more). So at most MAX_HOT keys are hot and their table (48 bytes a key) may be sent to all executors.
+TASK_SHARE = 32
 MAX_HOT = 10_000
 SALTS = 64
 
@@ -32,7 +32,7 @@ def canonical_rows(df: DataFrame, id_col: str, fields: list[str], content: str)
 class FormatDuplicates:
     """Groups of rows that are equal but for formatting and the order of their fields.
 
-    Keys are counted exactly (partial counts before the shuffle). Keys of at least ``hot_rows`` rows are hot; their
+    Keys are counted exactly (partial counts before the shuffle). Keys of at least ``hot_rows`` rows (by default a thirty-second of a task's) are hot; their
     groups are built in two levels, (key, salt) and then key, and their members are found by a broadcast of the at
     most ``MAX_HOT`` hot keys, with no shuffle of the members. All other groups take one shuffle by key.
 
@@ -41,9 +41,10 @@ class FormatDuplicates:
     twice in ``copies`` but is no copy of itself in :meth:`pairs`; an empty table gives no rows; other columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("title", "text"), content: str = "text", hot_rows: int = HOT_ROWS):
+    def __init__(self, df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("title", "text"), content: str = "text", hot_rows: int | None = None):
         self.rows = materialize(canonical_rows(df, id_col, list(fields), content), "canonical")
-        least = max(hot_rows, self.rows.count() // MAX_HOT + 1)
+        n, tasks = self.rows.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = max(n // (tasks * TASK_SHARE) if hot_rows is None else hot_rows, n // MAX_HOT + 1, 2)
         counts = self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         self.hot = materialize(counts.where(F.col("n") >= least).select("key"), "hot-keys")
         self.any_hot = bool(self.hot.head(1))
@@ -63,10 +64,12 @@ class FormatDuplicates:
 
     def pairs(self) -> DataFrame:
         """(first_id, copy_id): the smallest identifier of each group with each other one."""
-        first = F.min("id").over(Window.partitionBy("key")).alias("first_id")
         rest = self.rows.join(F.broadcast(self.hot), "key", "left_anti") if self.any_hot else self.rows
-        found = rest.select(first, F.col("id").alias("copy_id"))
+        # A group that is not hot has fewer rows than a hot one, by which its set of identifiers is bounded.
+        sets = rest.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+        found = sets.select(F.col("ids")[0].alias("first_id"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("copy_id"))
         if self.any_hot:
             heads = materialize(self._hot_groups().select("key", "first_id"), "hot-heads")
-            found = found.unionByName(self.rows.join(F.broadcast(heads), "key").select("first_id", F.col("id").alias("copy_id")))
-        return found.where(F.col("first_id") != F.col("copy_id")).distinct()
+            members = self.rows.join(F.broadcast(heads), "key").select("first_id", F.col("id").alias("copy_id"))
+            found = found.unionByName(members.where(F.col("first_id") != F.col("copy_id")).distinct())
+        return found

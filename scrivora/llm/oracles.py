@@ -58,6 +58,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_frequencies": _MARKED,
         "p5_found": r"""SELECT id, CASE WHEN regexp_matches(text, '[^ \t\n\r]{1000}[^ \t\n\r]{1000}[^ \t\n\r]') THEN 'forced' ELSE 'natural' END AS cut
             FROM articles WHERE length(text) > 2000""",
+        "p5_whole": "SELECT id, length(text)::BIGINT AS characters, md5(text) AS digest, true AS short, true AS overlapping FROM articles WHERE length(text) > 2000",
         "p7_found": f"SELECT doc_id, item_id FROM ({_LEAKS})",
         "p7_leaks": _LEAKS,
         "p8_found": f"""

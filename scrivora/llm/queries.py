@@ -75,6 +75,15 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_long(read_table(spark, sf_dir, "articles"))
 
 
+def p5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text, the characters and the digest of its pieces put together again, and whether all keep to the limit and the overlap."""
+    pieces = p5_pieces(spark, sf_dir)
+    fresh = F.substr("piece", F.col("repeated") + 1)
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", fresh.alias("part"))))
+    whole = pieces.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("text"), (F.max(F.length("piece")) <= 2000).alias("short"), F.max(F.col("repeated")).between(0, 200).alias("overlapping"))
+    return whole.select("id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("digest"), "short", "overlapping")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).mislabelled()
 
@@ -156,6 +165,7 @@ def queries() -> dict[str, Query]:
         "p4_frequencies": p4_frequencies,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p5_whole": p5_whole,
         "p6_found": p6_found,
         "p6_languages": p6_languages,
         "p7_found": p7_found,

@@ -21,19 +21,20 @@ _STRONG = re.compile(r"\n[ \t\r\n]*+|(?<![.!?…])[.!?…]++[\"'”’»)\]]*+[
 _BLANKS = re.compile(r"[ \t\r\n]+")
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, limit: int, all_words: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions where ``text`` may be cut, with 0 and its end, and their kinds (places in :data:`KINDS`).
 
-    These are all paragraph and sentence ends; all word ends in stretches of more than a quarter of ``limit`` without
-    those; and, only inside a run of more than ``limit`` characters without white space, forced places on a grid.
-    Two places that follow each other are never more than ``limit`` apart.
+    These are all paragraph and sentence ends; word ends, all or those in stretches of more than a quarter of ``limit`` without
+    the former; and, only inside a run of more than ``limit`` characters without white space, forced places on a grid of a
+    fortieth of ``limit``, as inside such a run no place is better than another. Two places that follow each other are never
+    more than ``limit`` apart.
     """
     n = len(text)
     found: dict[int, int] = {}
     strong = [(m.end(), 0 if "\n" in m.group() else 1) for m in _STRONG.finditer(text)]
     at = 0
     for end, kind in [*strong, (n, -1)]:
-        if end - at > limit // 4:
+        if all_words or end - at > limit // 4:
             _word_ends(text, at, end, limit, found)
         if 0 < end < n:
             found[end] = min(kind, found.get(end, 9))
@@ -64,13 +65,10 @@ def _forced(begin: int, end: int, limit: int, step: int, found: dict[int, int])
             found[p] = 3
 
 
-def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """(begin, end, repeated, kind) of the pieces of ``text``; the first ``repeated`` characters also end the piece
-    before, ``kind`` is that of the cut at ``end``, or -1 at the end of the text."""
+def _least_cost(text: str, limit: int, overlap: int, all_words: bool) -> tuple[np.ndarray, np.ndarray, list[int], float]:
+    """(places, kinds, the chosen ones, their cost) of the cheapest division over the boundaries."""
     n = len(text)
-    if n <= limit:
-        return [(0, n, 0, -1)]
-    places, kinds = boundaries(text, limit)
+    places, kinds = boundaries(text, limit, all_words)
     penalty = np.array(PENALTY)[kinds]
     penalty[-1] = 0
     room = limit - overlap
@@ -91,6 +89,19 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]
     while cuts[-1]:
         cuts.append(int(back[cuts[-1]]))
     cuts.reverse()
+    return places, kinds, cuts, float(cost[-1])
+
+
+def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(begin, end, repeated, kind) of the pieces of ``text``; the first ``repeated`` characters also end the piece
+    before, ``kind`` is that of the cut at ``end``, or -1 at the end of the text."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n, 0, -1)]
+    places, kinds, cuts, cost = _least_cost(text, limit, overlap, False)
+    if cost > PENALTY[2]:
+        # A division that uses a word end left out so far costs at least one such cut, and so might be cheaper than this one.
+        places, kinds, cuts, cost = _least_cost(text, limit, overlap, True)
     pieces = []
     for a, b in zip(cuts, cuts[1:]):
         begin, end = int(places[a]), int(places[b])

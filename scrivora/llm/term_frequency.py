@@ -47,7 +47,8 @@ def term_frequencies(df: DataFrame, id_col: str = "id", text_col: str = "text")
     counter per term that holds occurrences, records and the record seen last; a record is counted when it differs
     from the one last seen, so no set of records is kept. The counters run where the records lie (a record is one
     row, so it is whole there); what is shuffled, hashed by term, is one partial counter per term and run of rows,
-    summed before and after the shuffle. A term found in a third of all rows thus costs a row per run, not per record.
+    summed before and after the shuffle. So tokens themselves are not partitioned by hash and ordered by record: as records lie whole
+    in one run, the counters of two runs never saw the same record, and adding them is all that merging takes. A term found in a third of all rows thus costs a row per run, not per record.
 
     Defined cases: null, empty and contentless texts give no term but remain rows of the collection; a row that
     comes twice is two records; a null identifier is a record like any other and gives a null ``last_id`` only if all of the

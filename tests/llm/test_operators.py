@@ -45,7 +45,7 @@ COPIES = [
 ]
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
+@pytest.mark.parametrize("hot", [10_000, 2, None])
 def test_format_duplicates(table, hot):
     df = table([(*r, b"k") for r in COPIES], "id long, title string, text string, key binary")
     found = FormatDuplicates(df, hot_rows=hot)
@@ -101,6 +101,12 @@ def test_distinctiveness(table, shared, plain):
     assert rows(top.select("id", "term")) == sorted(((i, t) for i, b in best.items() for _, t in sorted(b)[:2]), key=repr)
 
 
+def test_distinctiveness_of_a_long_hot_term(table):
+    data = [(i, "q" * 100 + f" own{i}") for i in range(60)] + [(99, "other words")]
+    plain = term_distinctiveness(texts(table, data))
+    assert rows(plain) == rows(term_distinctiveness(texts(table, data), hot_rows=10)) and plain.where("length(term) = 100").count() == 60
+
+
 def test_distinctiveness_edges(table):
     assert rows(term_distinctiveness(texts(table).limit(0))) == []
     found = term_distinctiveness(texts(table), top_k=1)
@@ -136,6 +142,27 @@ def test_split_is_optimal():
     assert kind == 0 and text[e - 1] == "\n"
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_split_is_least_cost_over_all_boundaries(seed):
+    """The cost of what is returned is that of a plain search over all paragraph, sentence and word ends."""
+    from scrivora.llm import splitting as sp
+
+    rng = random.Random(seed)
+    text = "".join("w" * rng.randint(1, 9) + rng.choice([" "] * rng.randint(3, 12) + [". ", "!\n"]) for _ in range(rng.randint(60, 260)))
+    limit, overlap = 200, rng.choice([0, 30])
+    places, kinds = sp.boundaries(text, limit, True)
+    ideal = len(text) / max(1, -(-len(text) // (limit - overlap)))
+
+    def piece(a, b):
+        return sp.IMBALANCE * ((b - a) / ideal - 1) ** 2 + (sp.CRAMPED if a > 0 and b - a > limit - overlap else 0)
+
+    best = {0: 0.0}
+    for b, kind in list(zip(places.tolist(), kinds.tolist()))[1:]:
+        best[b] = min(best[a] + piece(a, b) for a in best if b - a <= limit) + (sp.PENALTY[kind] if b < len(text) else 0)
+    got = sum(piece(b + r, e) + (sp.PENALTY[k] if k >= 0 else 0) for b, e, r, k in split(text, limit, overlap))
+    assert len(text) <= limit or got == pytest.approx(best[len(text)])
+
+
 def test_split_long(table):
     df = table([(1, "short", 1), (2, None, 1), (3, "word " * 100_000, 1), (3, "word " * 1000, 1), (4, "", 1), (None, "x" * 5000, 1)], "id long, text string, piece int")
     got = split_long(df)
