@@ -51,26 +51,65 @@ FILLER_WORDS = frozenset(
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
     "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_TOPIC = r"(?:text|body|content|contents|description|summary|article|copy|paragraph|section|block|title|entry|page|introduction|intro|inhalt|artikel|beschreibung|absatz|contenu|texte|contenido|texto|artículo|descripción|resumen|contenuto|testo|articolo|descrizione|riassunto|treść|tekst|opis|artykuł|résumé|zusammenfassung|streszczenie)"
-#: Sentences that stand in for a text, by language.
-FILLER = re.compile(
-    r"\b" + _TOPIC + r"\b[^.!?\n]{0,25}\b(?:goes|go|comes|belongs|will be|to be|is) (?:here|added|written|in this)\b"
-    r"|\b" + _TOPIC + r"\b[^.!?\n]{0,25}(?:coming soon|to follow|follows soon|is coming)"
-    r"|\b(?:enter|type|write|paste|insert|add|put|place)\b[^.!?\n]{0,20}\b" + _TOPIC + r"\b[^.!?\n]{0,20}\b(?:here|below|above|box|field|place)\b"
-    r"|\b(?:sample|example|dummy|placeholder|filler) (?:text|copy|content)\b"
-    r"|\b(?:click|tap|double-click|press)\b[^.!?\n]{0,20}\bto (?:edit|change|modify|add)\b"
-    r"|\b(?:kliknij|stuknij|dotknij|naciśnij)\b[^.!?\n]{0,40}\b(?:edytować|zmienić|dodać)\b|tekst(?:em)? (?:zastępczy|przykładowy)|przykładowy tekst|\b(?:tu|tutaj)\b[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,20}\bwkrótce\b|wkrótce[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,25}do (?:uzupełnienia|napisania|wpisania|zastąpienia)|\b(?:wpisz|wklej|wstaw)\b"
-    r"|\b(?:klicken|tippen|doppelklicken) sie\b[^.!?\n]{0,50}\b(?:bearbeiten|ändern)\b|\bhier\b[^.!?\n]{0,25}" + _TOPIC + r"|" + _TOPIC + r"[^.!?\n]{0,20}\b(?:folgt|kommt)\b|platzhalter|blindtext|mustertext|beispieltext|fülltext|" + _TOPIC + r"[^.!?\n]{0,25}(?:zu ersetzen|zu schreiben|einfügen|eingeben|ergänzen)"
-    r"|\b(?:cliquez|touchez|appuyez|double-cliquez)\b[^.!?\n]{0,50}\b(?:modifier|éditer|changer)\b|texte (?:d.exemple|de remplissage|fictif|factice|provisoire|de substitution)|" + _TOPIC + r"[^.!?\n]{0,25}à (?:remplacer|écrire|compléter|rédiger)|" + _TOPIC + r"[^.!?\n]{0,25}(?:à venir|bientôt|\bici\b)|\bici\b[^.!?\n]{0,25}" + _TOPIC + r"|\b(?:saisissez|écrivez|collez|insérez)\b"
-    r"|\b(?:haga (?:doble )?clic|pulse|toque)\b[^.!?\n]{0,50}\b(?:editar|cambiar|modificar)\b|texto (?:de ejemplo|de muestra|de relleno|provisional|ficticio)|" + _TOPIC + r"[^.!?\n]{0,25}(?:por (?:escribir|completar)|para (?:sustituir|reemplazar)|pendiente)|" + _TOPIC + r"[^.!?\n]{0,25}(?:próximamente|\baquí\b|\bpronto\b)|\baquí\b[^.!?\n]{0,25}" + _TOPIC + r"|\b(?:escriba|introduzca|pegue|inserte)\b"
-    r"|\b(?:fai (?:doppio )?clic|fare clic|clicca|tocca|cliccare|toccare)\b[^.!?\n]{0,50}\b(?:modificare|cambiare|modifica)\b|testo (?:di esempio|segnaposto|di prova|provvisorio|fittizio)|" + _TOPIC + r"[^.!?\n]{0,25}\bda (?:scrivere|inserire|completare|sostituire)|" + _TOPIC + r"[^.!?\n]{0,25}(?:in arrivo|\bqui\b|\bpresto\b)|\bqui\b[^.!?\n]{0,25}" + _TOPIC + r"|\b(?:inserisci|incolla|scrivi)\b",
-    re.I,
-)
+
 
 def _words(*of: str) -> str:
     return r"\b(?:" + "|".join(x for line in of for x in line.split("  ")) + r")\b"
 
 
+# Filler sentences stand in for a text. They are told by a part of a text that is named a sample, is still to come or belongs in a place, or by
+# an instruction to put it there.
+
+#: Parts of a text.
+TOPIC = _words(
+    "texts?  body  contents?  description  summary  article  copy  paragraph  section  block  title  entry  page  introduction  intro  something",
+    r"treś\w*  tekst\w*  opis(?:u|em|y)?  artykuł\w*  akapit\w*  streszczeni\w*  hasł\w*  tytuł\w*  wstęp\w*",
+    r"inhalt\w*  artikels?  beschreibung  absatz\w*  zusammenfassung  einleitung  abschnitt\w*  titel",
+    "contenus?  texte  résumé  paragraphe  article  description  introduction  titre",
+    "contenido  texto  artículo  descripción  resumen  párrafo  introducción  título",
+    "contenuto  testo  articolo  descrizione  riassunto  paragrafo  introduzione  titolo",
+)
+#: That it is none yet.
+FAKE = _words(
+    "sample  example  dummy  placeholder  filler",
+    r"przykładow\w+  zastępcz\w+  próbn\w+",
+    r"blind\w*  muster\w*  beispiel\w*  platzhalter\w*  füll\w*",
+    "d['’]exemple  de remplissage  fictif  factice  provisoire  de substitution",
+    "de ejemplo  de muestra  de relleno  de prueba  provisional  ficticio",
+    "di esempio  segnaposto  di prova  provvisorio  fittizio  finto",
+)
+_COMPOUND = r"\b(?:blind|muster|beispiel|platzhalter|füll)text\w*"
+#: Where it belongs, and that it does.
+PLACE = _words(
+    "here  below  above  in this (?:place|box|field|section|space)",
+    "tu  tutaj  w tym (?:miejscu|polu)",
+    "hier  an dieser stelle  in diese[ms]? (?:feld|stelle)",
+    "ici  à cet endroit  dans ce champ",
+    "aquí  en este (?:lugar|campo)",
+    "qui  in questo (?:punto|campo|spazio)",
+)
+GOES = _words("goes  go  comes  belongs?  your", r"trafi  będzie  tw[oó]j\w*", "gehört  kommt  ihre?", "va  votre  vient", "va  irá  su", "va  andrà  il tuo  la tua")
+#: That it is to come.
+FUTURE = _words(
+    "will be  later  to be (?:added|written|filled|replaced)  coming soon  is coming  soon  to follow  follows soon  under construction  in preparation",
+    "wkrótce  później  zostanie  do (?:uzupełnienia|napisania|wpisania|zastąpienia)  w przygotowaniu",
+    "folgt  bald  später  kommt noch  in kürze  zu (?:ersetzen|schreiben|ergänzen)  in vorbereitung",
+    "bientôt  plus tard  à venir  à (?:remplacer|écrire|compléter|rédiger)  en préparation",
+    "próximamente  pronto  más tarde  pendiente  por (?:escribir|completar)  para (?:sustituir|reemplazar)  en preparación",
+    "in arrivo  presto  più tardi  da (?:scrivere|inserire|completare|sostituire)  in preparazione",
+)
+#: Instructions with which a sentence begins.
+EDIT = (
+    r"(?:enter|type|write|paste|insert|add|put|place|replace|edit|click|tap|press|double-click|wpisz|wklej|wstaw|kliknij|stuknij|dotknij|naciśnij|zastąp"
+    r"|(?:klicken|tippen|doppelklicken|schreiben|geben|fügen|ersetzen) sie|cliquez|touchez|appuyez|double-cliquez|saisissez|écrivez|collez|insérez|remplacez"
+    r"|haga (?:doble )?clic|pulse|toque|escriba|introduzca|pegue|inserte|sustituya|(?:fai|fare) (?:doppio )?clic|clicca|tocca|inserisci|incolla|scrivi|sostituisci)\b"
+)
+_EDIT_FIRST = rf"^\W*(?:{PLACE}\W+)?" + EDIT
+_EDITING = r"\bto (?:edit|change|modify|add)\b|\b(?:edytować|zmienić|dodać|bearbeiten|ändern|modifier|éditer|changer|editar|cambiar|modificar|modificare|cambiare|modifica)\b"
+_STANDING = {name: re.compile(p, re.I) for name, p in (("topic", TOPIC), ("fake", FAKE), ("place", PLACE), ("goes", GOES), ("future", FUTURE), ("edit", _EDIT_FIRST), ("editing", _EDITING), ("compound", _COMPOUND), ("ends", PLACE + r"\W*$"), ("small", r"\b(?:the|of|an?|this|le|la|les|l|de|du|des|el|los|las|il|lo|i|gli|del|della|der|die|das|dem|ten|ta|to|tego)\b"))}
+#: What a paragraph with such a sentence holds.
+FILLER = re.compile("|".join((_COMPOUND, _EDITING, rf"(?:{FAKE}|{FUTURE}|{EDIT}|{PLACE})[^.!?\n]*{TOPIC}", rf"{TOPIC}[^.!?\n]*(?:{FAKE}|{FUTURE}|{PLACE})")), re.I)
+
 # A message is told by what its sentences are about, not by their wording: some part of a system, a failure of it, the reader who is
 # addressed, an instruction, a status. Word classes for English, Polish, German, French, Spanish and Italian, two blanks between words.
 
@@ -159,7 +198,7 @@ TUTORIAL = re.compile(
     re.I,
 )
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+|\n+")
-_BRACKETED = re.compile(r"[\[(][^\[\]()\n]{0,60}[\])]")
+_BRACKETED = re.compile(r"[\[(][^\[\]()\n]*+[\])]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a text must hold to be looked at for the kinds of residue: linear-time automata over whole Arrow columns, which pass over most
 #: texts. Each holds whenever the finer expressions above can match, as these contain one of its words or signs.
@@ -194,6 +233,17 @@ def placeholders(text: str) -> int:
     return found if found > explained or not explained else 0
 
 
+def stands_in(sentence: str) -> bool:
+    """Whether a sentence stands in for a text: it names a part of a text and calls it a sample, or says that it is to come or belongs here,
+    or begins with the instruction to put or edit it, or is no more than part and place; and it does not report of the past."""
+    has = {name: bool(p.search(sentence)) for name, p in _STANDING.items()}
+    if has["edit"] and (has["topic"] or has["editing"]):
+        return True
+    bare = has["ends"] and not _WORD.search(re.sub("|".join(_STANDING[n].pattern for n in ("topic", "place", "small")), " ", sentence, flags=re.I))
+    told = has["topic"] and (has["fake"] or has["future"] or has["place"] and has["goes"] or bare)
+    return (told or has["compound"]) and not _CLASSES["report"].search(sentence)
+
+
 def has_filler(text: str, latin: bool = True, stand_in: bool = True) -> bool:
     """Whether a paragraph consists mostly of filler: pseudo-Latin, one word over and over, or sentences that stand in for a text."""
     for paragraph in text.split("\n") if latin or stand_in else ():
@@ -201,7 +251,7 @@ def has_filler(text: str, latin: bool = True, stand_in: bool = True) -> bool:
         if len(words) >= 8 and (sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words) or len(set(words)) <= 2):
             return True
         if stand_in and words and FILLER.search(paragraph):
-            standing = sum(len(_WORD.findall(s)) for s in _SENTENCE.split(paragraph) if FILLER.search(_BRACKETED.sub(' ', s)))
+            standing = sum(len(_WORD.findall(s)) for s in _SENTENCE.split(paragraph) if stands_in(_BRACKETED.sub(" ", s)))
             if 2 * standing >= len(words):
                 return True
     return False

@@ -555,6 +555,26 @@ def test_kneser_ney_sums_to_one():
         ("JavaScript was created in 1995 and runs in every browser.", []),
         ("The connection between the two towns was lost in 1820.", []),
         ("The network of canals was down to two by 1900.", []),
+        # Stand-ins in other wordings, and prose with their words.
+        ("Insert your paragraph here.", ["filler"]),
+        ("Content will be added soon.", ["filler"]),
+        ("Replace this text with your own.", ["filler"]),
+        ("Texto de prueba.", ["filler"]),
+        ("Le contenu arrive bientôt.", ["filler"]),
+        ("Contenuto in preparazione.", ["filler"]),
+        ("To jest przykładowy akapit.", ["filler"]),
+        ("Questo è un testo finto.", ["filler"]),
+        ("Type something here.", ["filler"]),
+        ("An dieser Stelle folgt der Inhalt.", ["filler"]),
+        ("The text was written here by monks in 1200.", []),
+        ("The title goes to the eldest son.", []),
+        ("Hier ist der Text der Inschrift erhalten.", []),
+        ("The body of the king is buried here.", []),
+        ("Sample text was taken from the river bed.", []),
+        ("El texto se conserva aquí.", []),
+        ("Tutaj zachował się tekst napisu.", []),
+        ("Copy of the entry is kept here.", []),
+        ("The section is here two metres wide.", []),
         # Messages in other wordings.
         ("This site is experiencing technical difficulties.", ["error_page"]),
         ("Sorry, we can't display this content right now.", ["error_page"]),
