@@ -27,6 +27,8 @@ QUERY_BLOCK = 65_536
 GRID_VECTORS = 262_144
 #: Vectors whose neighbours are sought among all vectors, to learn in which cells neighbours lie.
 PROBE_SAMPLE = 1_024
+#: Names of the hashes that stand for a vector.
+KEY = ("key_a", "key_b")
 #: Standard deviations that an estimate may be below the truth before a neighbour is lost.
 EPSILON = 3.0
 _TILE = 1 << 17
@@ -179,14 +181,16 @@ class VectorIndex:
     def __init__(self, df: DataFrame, id_col: str = "doc_pos", vector_col: str = "docs_ser", dim: int = 50, k: int = 5, seed: int = 42):
         self.spark, self.dim, self.k, self.seed = df.sparkSession, dim, k, seed
         rows = df.select(F.col(id_col).cast("long").alias("pos"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("pos").isNotNull() & usable(F.col("v"), dim))
-        rows = rows.withColumn("key", F.unhex(F.sha2(F.transform("v", lambda x: x + F.lit(0.0)).cast("string"), 256)))
-        self.rows = materialize(rows.select("pos", "key", "v"), "vectors")
-        place = F.dense_rank().over(Window.partitionBy("key").orderBy("pos"))
-        heads = self.rows.select("key", "pos").withColumn("place", place).where(F.col("place") <= k + 1)
-        heads = heads.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("heads"))
+        # Adding 0 makes one of the two zeros. Two hashes of 64 bits stand for a vector.
+        same = F.transform("v", lambda x: x + F.lit(0.0))
+        rows = rows.withColumns({name: F.xxhash64(F.lit(name), same) for name in KEY})
+        self.rows = materialize(rows.select("pos", *KEY, "v"), "vectors")
+        place = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("pos"))
+        heads = self.rows.select(*KEY, "pos").withColumn("place", place).where(F.col("place") <= k + 1)
+        heads = heads.groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("heads"))
         self.groups = materialize(heads.withColumn("rep", F.col("heads")[0]), "vector-groups")
-        reps = self.rows.join(self.groups.select("key", F.col("rep").alias("pos")), ["key", "pos"], "left_semi")
-        self.reps = materialize(reps.dropDuplicates(["key", "pos"]).select(F.col("pos").alias("rep"), "v"), "vector-reps")
+        reps = self.rows.join(self.groups.select(*KEY, F.col("rep").alias("pos")), [*KEY, "pos"], "left_semi")
+        self.reps = materialize(reps.dropDuplicates([*KEY, "pos"]).select(F.col("pos").alias("rep"), "v"), "vector-reps")
 
     def _centres(self) -> np.ndarray:
         n = self.reps.count()
@@ -295,8 +299,8 @@ class VectorIndex:
         best = Window.partitionBy("pos").orderBy(F.desc("cosine"), "other")
         mine = heads.join(others.unionByName(copies), "rep").where(F.col("pos") != F.col("other"))
         mine = mine.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("pos", "other", "cosine")
-        full = groups.where(F.size("heads") > k).select("key", "heads")
-        late = self.rows.select("pos", "key").join(full, "key").where(~F.array_contains("heads", F.col("pos"))).select("pos", F.explode(F.slice("heads", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
+        full = groups.where(F.size("heads") > k).select(*KEY, "heads")
+        late = self.rows.select("pos", *KEY).join(full, [*KEY]).where(~F.array_contains("heads", F.col("pos"))).select("pos", F.explode(F.slice("heads", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
         return mine.unionByName(late)
 
     def search(self, queries: DataFrame) -> DataFrame:
