@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from scrivora.session import materialize
 
-#: Vectors the cell centres are fitted on, at most; every vector is indexed. Bounds the driver at 13 MB for 50 numbers.
-SAMPLE = 65_536
-#: Vectors a cell should hold, and the most cells there are; bounds the centres sent to executors (4 MB for 50 numbers).
-CELL, MAX_CELLS = 512, 16_384
+#: Vectors the cell centres are fitted on, per cell and at most; every vector is indexed. Bounds the driver at 105 MB for 50 numbers.
+SAMPLE_PER_CELL, LEAST_SAMPLE, SAMPLE = 32, 8_192, 262_144
+#: Vectors a cell should hold, and the most cells there are; bounds the centres sent to executors (13 MB for 50 numbers).
+CELL, MAX_CELLS = 512, 65_536
 #: Cells whose vectors are dealt with in one group: a query is sent once to a group of neighbouring cells, not to each of its cells.
 GROUP_CELLS = 64
 #: Vectors and queries of one task at most, about: a fuller group is dealt out to a grid of tasks, each with a part of either.
@@ -157,6 +157,21 @@ def _fit_cells(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np
     return centres
 
 
+def _fit_areas(sample: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, area of each): areas of about :data:`GROUP_CELLS` cells are fitted first, then the cells of each area on its part of
+    the sample, so that the work grows with the cells and not with their square, and the cells of an area lie together."""
+    areas = _fit_cells(sample, max(1, cells // GROUP_CELLS), seed)
+    home = np.concatenate([(part @ areas.T).argmax(axis=1) for part in np.array_split(sample, max(1, len(sample) // 4096))])
+    centres, area_of = [], []
+    for a in range(len(areas)):
+        mine = sample[home == a]
+        if len(mine):
+            own = _fit_cells(mine, max(1, round(cells * len(mine) / len(sample))), seed + 1 + a)
+            centres.append(own)
+            area_of += [a] * len(own)
+    return np.concatenate(centres), np.array(area_of, np.int32)
+
+
 class VectorIndex:
     """Similarity search over unit directions of vectors.
 
@@ -192,15 +207,17 @@ class VectorIndex:
         reps = self.rows.join(self.groups.select(*KEY, F.col("rep").alias("pos")), [*KEY, "pos"], "left_semi")
         self.reps = materialize(reps.dropDuplicates([*KEY, "pos"]).select(F.col("pos").alias("rep"), "v"), "vector-reps")
 
-    def _centres(self) -> np.ndarray:
+    def _centres(self) -> tuple[np.ndarray, np.ndarray]:
         n = self.reps.count()
-        share = min(1.0, SAMPLE / max(1, n))
+        cells = max(1, min(MAX_CELLS, n // CELL))
+        wanted = min(SAMPLE, max(LEAST_SAMPLE, SAMPLE_PER_CELL * cells))
+        share = min(1.0, wanted / max(1, n))
         chosen = self.reps.where(F.pmod(F.xxhash64("rep", F.lit(self.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        sample = chosen.select("rep", "v").limit(SAMPLE + SAMPLE // 8).toArrow()
+        sample = chosen.select("rep", "v").limit(wanted + wanted // 8).toArrow()
         if not len(sample):
-            return np.zeros((0, self.dim), np.float32)
+            return np.zeros((0, self.dim), np.float32), np.zeros(0, np.int32)
         vectors = np.asarray(sample.column("v").combine_chunks().flatten()).reshape(-1, self.dim)[np.argsort(sample.column("rep").to_numpy())]
-        return _fit_cells(_unit(vectors).astype(np.float32), max(1, min(MAX_CELLS, n // CELL)), self.seed)
+        return _fit_areas(_unit(vectors).astype(np.float32), cells, self.seed)
 
     def margin(self, centres: np.ndarray, least: float, recall: float) -> float:
         """By how much a cell's centre may be less similar to a query than the nearest centre, so that the share ``recall`` of the sample's
@@ -224,9 +241,7 @@ class VectorIndex:
     def neighbours(self, least: float = -1.0, recall: float = 0.95) -> DataFrame:
         """(rep, other, cosine) among representatives: of each the k nearest with a cosine of at least ``least``. ``recall`` is the share of
         these that the cells looked at hold, as measured on a sample; 1 takes the widest margin seen."""
-        centres = self._centres()
-        areas = _fit_cells(centres, max(1, len(centres) // GROUP_CELLS), self.seed) if len(centres) else centres
-        area_of = (centres @ areas.T).argmax(axis=1).astype(np.int32) if len(centres) else np.zeros(0, np.int32)
+        centres, area_of = self._centres()
         margin = self.margin(centres, least, recall) if len(centres) else 2.0
         shared = self.spark.sparkContext.broadcast((centres, area_of))
         dim, k, seed = self.dim, self.k, self.seed
