@@ -56,11 +56,16 @@ _PAGES = r"""SELECT id, url, title, p AS text FROM (SELECT id, url, title, array
             lambda p: regexp_replace(p, '[\s\x0b\x{85}\p{Z}]+', '', 'g') <> ''), chr(10)) AS p FROM articles) WHERE title IS NOT NULL AND p <> ''"""
 
 
+def _words_index() -> str:
+    words = ", ".join(map(repr, WORDS))
+    return f"{_TF.replace('GROUP BY id, stem)', f'WHERE stem IN ({words}) GROUP BY id, stem)')}, {_REST}"
+
+
 def _triplets(k: int) -> str:
     """The ``k`` leading eigenpairs of the 8 x 8 matrix of the stated words: the matrix is squared until it is the projection on its
     leading vector, whose part is taken away for the next. ``p1`` and so on hold the projections, ``sigma`` the singular values."""
     words = f"[{', '.join(map(repr, sorted(WORDS)))}]"
-    steps = [f"""{_TF.replace('GROUP BY id, stem)', f'WHERE list_contains({words}, stem) GROUP BY id, stem)')}, {_REST},
+    steps = [f"""{_words_index()},
     place AS (SELECT unnest({words}) AS term, unnest(range(1, 9)) AS spot), cells AS MATERIALIZED (SELECT id, spot, weight FROM nw JOIN place USING (term)),
     grams AS (SELECT p.spot AS i, q.spot AS j, coalesce(g, 0.0) AS g FROM place p CROSS JOIN place q LEFT JOIN (SELECT a.spot AS i, b.spot AS j, sum(a.weight * b.weight) AS g FROM cells a JOIN cells b USING (id) GROUP BY a.spot, b.spot) s ON s.i = p.spot AND s.j = q.spot),
     m1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM grams GROUP BY i))"""]
@@ -104,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT from_time, outcome, count(*) AS n FROM l WHERE from_time + INTERVAL 1 HOUR <= (SELECT max(fetched_at) - INTERVAL 1 DAY FROM crawl_log) GROUP BY from_time, outcome""",
         "append_articles": "SELECT coalesce(min(id) FILTER (id % 2 = 0), min(id)) AS id, url, 0 AS added_last FROM articles WHERE url IS NOT NULL GROUP BY url",
         "numbered_articles": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS doc_pos FROM articles",
+        "parse_api_titles": "SELECT title FROM articles",
         "parse_api_extracts": "SELECT title, text AS content FROM articles WHERE text <> ''",
         "insert_or_ignore_url": "SELECT min(id) AS id, url FROM articles WHERE url IS NOT NULL GROUP BY url UNION ALL SELECT id, url FROM articles WHERE url IS NULL",
         "insert_new_articles": """WITH new AS (SELECT id, title FROM articles WHERE id % 2 = 1 AND text <> '' AND NOT EXISTS (SELECT 1 FROM articles o WHERE o.id % 2 = 0 AND o.title = articles.title))
@@ -121,7 +127,8 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary": f"""WITH {_STEMS}, placed AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT id, {_TEXT_TOKENS} AS t FROM articles)),
             first AS (SELECT stem AS term, min(row(id, place)) AS f FROM placed JOIN stems ON token = word GROUP BY stem)
             SELECT row_number() OVER (ORDER BY f, term) - 1 AS term_id, term FROM first""",
-        "corpus_stats": f"{_INDEX} SELECT (SELECT count(*) FROM articles) AS document_count, (SELECT count(*) FROM idf) AS vocabulary_size, '10,25,50' AS available_k_values",
+        "corpus_stats": f"{_INDEX} SELECT (SELECT count(*) FROM articles) AS document_count, (SELECT count(*) FROM idf) AS vocabulary_size, '' AS available_k_values",
+        "stored_ranks": "SELECT count(*) AS document_count, 8::BIGINT AS vocabulary_size, '10,25,50' AS available_k_values FROM articles",
         "term_frequency": f"{_TF} SELECT id, term, tf FROM tf",
         "document_frequency": f"{_INDEX} SELECT term, df FROM df",
         "idf": f"{_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf",
@@ -149,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
             coalesce(method_code, 2) IN (2, 3, 4) AS known, count(*) AS n FROM search_log WHERE trim(query) <> '' GROUP BY 1, 2, 3""",
         "k_bucket": "SELECT (i + 1)::INTEGER AS k, CASE WHEN i < 10 THEN 10 WHEN i < 25 THEN 25 ELSE 50 END AS bucket, 'svd_k=' || CASE WHEN i < 10 THEN 10 WHEN i < 25 THEN 25 ELSE 50 END AS name FROM sigma",
         "crawl_outcomes": "SELECT outcome, count(DISTINCT fetch_id) AS n FROM crawl_log GROUP BY outcome",
+        "crawl_resume": "SELECT stored, CASE WHEN stored >= 50000 THEN 0 ELSE 60000 - stored END AS needed FROM (SELECT count(DISTINCT article_id) AS stored FROM crawl_log WHERE outcome = 'saved')",
         "crawl_progress": f"""WITH l AS (SELECT DISTINCT ON (fetch_id) * FROM crawl_log), a AS (SELECT count(*) AS completed, count(*) FILTER (outcome = 'saved') AS saved,
             (epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 1e6 AS s FROM l), r AS (SELECT *, completed / s AS rate, floor(greatest(300000 - completed, 0) / (completed / s))::BIGINT AS left_s FROM a)
             SELECT completed, saved, round(completed * 100.0 / 300000, 1)::DOUBLE AS percent, round(s, 1) AS seconds, round(rate, 6) AS rate, {_CLOCK.format('left_s')} AS time_left FROM r""",
@@ -168,6 +176,8 @@ def oracle_sql() -> dict[str, str]:
         "svd_words_projection": f"{_triplets(3)} SELECT a.term, b.term AS other, round(p[a.spot][b.spot], 6) + 0.0::DOUBLE AS value FROM place a, place b, projection",
         "search_lsi_words": _latent(3, 20),
         "search_low_rank_words": _latent(3, 20),
+        "search_methods": " UNION ALL ".join(f"SELECT {m} AS method, score, id, title FROM ({sql})" for m, sql in ((2, _search(_words_index(), PLAIN, 5)), (3, _latent(8, 5)), (4, _latent(3, 5)))),
+        "search_low_rank_no_match": "SELECT 0.0::DOUBLE AS score, title, url, id, text FROM articles WHERE false",
         "low_rank_matrix_words": f"""{_triplets(3)}, entries AS (SELECT id, unnest(a) AS x, unnest(range(1, 9)) AS spot, sqrt(list_dot_product(a, a)) AS size FROM projected)
             SELECT id, term, round(x / size, 6) AS weight FROM entries JOIN place USING (spot) WHERE size > 1e-12 AND abs(round(x / size, 6)) > 1e-6""",
         "stored_vector_norms": """SELECT DISTINCT doc_pos AS id, round(sqrt(list_sum(list_transform(docs_ser, lambda x: x * x))), 6) AS norm FROM doc_vectors

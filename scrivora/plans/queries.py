@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivora.functions.stem import stem_words
-from scrivora.functions.text import RANKS, clock, fixed, index_name, method_name, rank_bucket, titled, tokenize, tokenize_blanks
+from scrivora.functions.text import clock, fixed, index_name, method_name, rank_bucket, titled, tokenize, tokenize_blanks
+from scrivora.functions.vectors import dot
 from scrivora.operators import index as ix
 from scrivora.operators.crawl import outcomes, progress
-from scrivora.functions.vectors import dot
 from scrivora.operators.factors import Factors, gram_matrix, latent_neighbours, matvec, power_factors, residuals, rmatvec, vector_norms
 from scrivora.operators.numbering import number_rows
-from scrivora.operators.search import DECIMALS, defaulted, known_method, mean_normalized, one_query, query_vectors, top_documents, top_documents_batch
+from scrivora.operators.search import DECIMALS, defaulted, known_method, mean_normalized, one_query, query_vectors, search, top_documents, top_documents_batch
 from scrivora.session import materialize, read_table, scratch_path
 from scrivora.sources import articles as art
-from scrivora.sources.dumps import as_json, dump_files, json_column, parse_dump, parse_extracts, parse_requests, read_dumps, word_list
+from scrivora.sources.dumps import as_json, dump_files, json_column, parse_dump, parse_extracts, parse_requests, parse_titles, read_dumps, resume, word_list
 from scrivora.sources.pages import paragraphs, parse_pages
 from scrivora.streaming.ingest import ingest_pages, outcome_counts, page_stream
 
@@ -134,6 +134,13 @@ def parse_api_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_extracts(_articles(spark, sf_dir).select(json_column(F.struct(page.alias("pages")).alias("query")).alias("value")))
 
 
+def parse_api_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles from answers of up to a hundred pages each."""
+    pages = F.collect_list(F.struct(F.col("id").alias("pageid"), "title")).alias("allpages")
+    answers = _articles(spark, sf_dir).groupBy(F.expr("id div 100")).agg(pages)
+    return parse_titles(answers.select(json_column(F.struct("allpages").alias("query")).alias("value")))
+
+
 def insert_or_ignore_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return art.first_per_key(_articles(spark, sf_dir), "url").select("id", "url")
 
@@ -197,9 +204,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    index.ranks = RANKS
-    return index.stats().withColumn("available_k_values", F.array_join("available_k_values", ","))
+    return _index(spark, sf_dir).stats().withColumn("available_k_values", F.array_join("available_k_values", ","))
 
 
 # Weights
@@ -329,6 +334,12 @@ def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress(read_table(spark, sf_dir, "crawl_log"), 300_000)
 
 
+def crawl_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many articles are stored, and how many titles to take up for 50,000."""
+    stored = read_table(spark, sf_dir, "crawl_log").where("outcome = 'saved'").agg(F.countDistinct("article_id")).head()[0]
+    return spark.createDataFrame([(stored, resume(stored, 50_000))], "stored long, needed int")
+
+
 def fetch_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read_table(spark, sf_dir, "crawl_log").dropDuplicates(["fetch_id"])
     seconds = F.floor((F.unix_micros(F.col("logged_at").cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1e6).cast("long")
@@ -458,6 +469,14 @@ def svd_words_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.crossJoin(F.broadcast(other)).select("term", "other", (F.round(dot(F.col("u"), F.col("w")), DECIMALS) + F.lit(0.0)).alias("value"))
 
 
+def stored_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a stored index and the ranks of the factors that were built beside it."""
+    path, index = scratch_path(spark, "index"), _words_index(spark, sf_dir)
+    index.save(path)
+    Factors.save_ranks(index.postings, path)
+    return ix.TextIndex.load(spark, path).stats().withColumn("available_k_values", F.array_join("available_k_values", ","))
+
+
 def power_words_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two leading singular values by power iteration with deflation, to three decimals."""
     found = power_factors(_words_index(spark, sf_dir).postings, 2, iterations=40, tolerance=1e-9)
@@ -475,6 +494,18 @@ def search_low_rank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.search(index, PLAIN, limit=20, k=3)
 
 
+def search_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of each method, called by its code."""
+    index, factors = _word_factors(spark, sf_dir)
+    found = [search(index, PLAIN, 5, method, 3, factors).select(F.lit(method).alias("method"), "score", "id", "title") for method in (2, 3, 4)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def search_low_rank_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, factors = _word_factors(spark, sf_dir)
+    return search(index, UNKNOWN, method=4, factors=factors)
+
+
 def low_rank_matrix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole matrix of rank three over the stated vocabulary, all articles; entries of amount below a millionth are left out."""
     index, factors = _word_factors(spark, sf_dir)
@@ -493,13 +524,13 @@ def stored_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    scan_articles, parse_dump_docs, dump_folders, dump_report, extract_pages, stream_pages, stream_outcomes, append_articles, numbered_articles, parse_api_extracts, insert_or_ignore_url, insert_new_articles, drop_short_articles, complete_articles, nonblank_paragraphs, stop_word_list, results_json, requests_json,
+    scan_articles, parse_dump_docs, dump_folders, dump_report, extract_pages, stream_pages, stream_outcomes, append_articles, numbered_articles, parse_api_extracts, parse_api_titles, insert_or_ignore_url, insert_new_articles, drop_short_articles, complete_articles, nonblank_paragraphs, stop_word_list, results_json, requests_json,
     tokenize_counts, tokenize_blank_counts, stopword_filter, porter_stem_vocab, vocabulary, corpus_stats,
     term_frequency, document_frequency, idf, tfidf, doc_norms, tfidf_normalized, tf_relative_tfidf, summed_entries,
     query_vector, search_tfidf, search_tfidf_raw_words, search_tfidf_stemmed_query, search_no_match, search_raw_tf, search_tf_relative, search_batch_ranked, score_mean_normalized, search_stored_index,
-    result_cards, document_card, document_by_id, leading_sigma, request_defaults, k_bucket, crawl_outcomes, crawl_progress, fetch_delays,
+    result_cards, document_card, document_by_id, leading_sigma, request_defaults, k_bucket, crawl_outcomes, crawl_progress, crawl_resume, fetch_delays,
     sparse_matvec, sparse_rmatvec, power_iteration_sigma1, svd_sigma, svd_residuals, term_vectors, doc_vectors, search_lsi, search_low_rank, low_rank_terms, gram_matrix_small,
-    svd_words_sigma, svd_words_projection, power_words_sigma, search_lsi_words, search_low_rank_words, low_rank_matrix_words, stored_vector_norms, stored_vector_search,
+    svd_words_sigma, svd_words_projection, stored_ranks, power_words_sigma, search_lsi_words, search_low_rank_words, search_methods, search_low_rank_no_match, low_rank_matrix_words, stored_vector_norms, stored_vector_search,
 )
 
 
