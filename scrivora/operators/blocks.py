@@ -1,4 +1,4 @@
-"""A sparse matrix packed into blocks, and its leading singular triplets by a restarted block Krylov method.
+"""A sparse matrix packed into blocks, and its leading singular triplets by subspace iteration with a Chebyshev filter.
 
 The rows of the dense side are the terms. They are dealt out to parts by a hash; the columns (documents) to buckets. A
 bucket holds its piece of the matrix in compressed form and is sent only the rows of the terms that occur in it, so a term found in
@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from scrivora.session import materialize, release
 
-#: Postings of a bucket, about; products of a bucket at once, which bound the memory of a task.
-BUCKET_CELLS, STEP_CELLS = 1_000_000, 1 << 16
+#: Postings of a bucket, about; numbers a task multiplies at once, which stay in its core's cache.
+BUCKET_CELLS, STEP_NUMBERS = 1_000_000, 1 << 18
 #: Rows of a part at most, about, and rows that one part sends in one product, to all buckets together.
 PART_ROWS, SENT_ROWS = 8_192, 4_000_000
-#: Columns of a Krylov basis at which it is restarted from its best vectors.
-MOST_COLUMNS = 480
-#: Directions that hold less than this share of the largest eigenvalue are rounding errors.
-NOISE = 1e-12
+#: Products of one filter at most, and by how much it may favour the largest value over the last wanted one: more would drown that in rounding.
+DEGREE, MOST_FAVOUR = 10, 1e6
+#: Tasks whose sums reach the driver as they are; those of more are added in a second stage.
+DRIVER_SUMS = 16
+#: What is below this share of the largest eigenvalue is a rounding error.
+NOISE = 1e-13
 
 _STATE = "part int, n int, basis binary, image binary"
 
@@ -37,13 +39,14 @@ def _matrix(blob: bytes | None, n: int) -> np.ndarray:
 def _sums(starts: np.ndarray, places: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row i: the sum of weights · x[places] over starts[i] up to starts[i + 1]; every row has at least one."""
     out = np.empty((len(starts) - 1, x.shape[1]))
+    most = max(1, STEP_NUMBERS // max(1, x.shape[1]))
     i = 0
     while i < len(out):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP_CELLS, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, "right")) - 1)
         begin, end = int(starts[i]), int(starts[j])
         if j == i + 1:
-            cuts = range(begin, end, STEP_CELLS)
-            out[i] = sum(weights[b : min(end, b + STEP_CELLS)] @ x[places[b : min(end, b + STEP_CELLS)]] for b in cuts)
+            cuts = range(begin, end, most)
+            out[i] = sum(weights[b : min(end, b + most)] @ x[places[b : min(end, b + most)]] for b in cuts)
         else:
             np.add.reduceat(x[places[begin:end]] * weights[begin:end, None], starts[i:j] - begin, axis=0, out=out[i:j])
         i = j
@@ -145,13 +148,13 @@ class BlockedMatrix:
 
         return materialize(self.names.select("part", "n", "keys").mapInArrow(run, _STATE), "basis")
 
-    def _sent(self, state: DataFrame, last: int) -> DataFrame:
-        """(bucket, part, places, piece): the last columns of the basis, for every bucket the rows it needs."""
+    def _sent(self, state: DataFrame) -> DataFrame:
+        """(bucket, part, places, piece): for every bucket the rows of the basis it needs."""
 
         def send(key: tuple, have: pa.Table, routes: pa.Table) -> pa.Table:
             if not len(have):
                 return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "places": pa.array([], pa.binary()), "piece": pa.array([], pa.binary())})
-            x = _matrix(have.column("basis")[0].as_py(), have.column("n")[0].as_py())[:, -last:]
+            x = _matrix(have.column("basis")[0].as_py(), have.column("n")[0].as_py())
             pieces = [np.ascontiguousarray(x[np.frombuffer(p, np.int32)]).tobytes() for p in routes.column("places").to_pylist()]
             return pa.table({"bucket": routes.column("bucket"), "part": routes.column("part"), "places": routes.column("places"), "piece": pa.array(pieces, pa.binary())})
 
@@ -159,20 +162,21 @@ class BlockedMatrix:
         return slim.groupBy("part").cogroup(self.routes.groupBy("part")).applyInArrow(send, "bucket int, part int, places binary, piece binary")
 
     @staticmethod
-    def _documents_side(pieces: pa.Table, packed: pa.Table, last: int) -> tuple[dict, pa.Table, np.ndarray]:
+    def _documents_side(pieces: pa.Table, packed: pa.Table, width: int) -> tuple[dict, pa.Table, np.ndarray]:
         row = {name: packed.column(name)[0] for name in packed.column_names}
         pieces = pieces.sort_by("part")
-        x = np.frombuffer(b"".join(pieces.column("piece").to_pylist()), np.float64).reshape(-1, last)
+        x = np.frombuffer(b"".join(pieces.column("piece").to_pylist()), np.float64).reshape(-1, width)
         cells = {name: np.frombuffer(row[name].as_py(), kind) for name, kind in (("row_starts", np.int64), ("columns", np.int32), ("weights", np.float64), ("column_starts", np.int64), ("turn", np.int32), ("rows", np.int32))}
         cells["ids"] = row["ids"].values
         return cells, pieces, _sums(cells["row_starts"], cells["columns"], cells["weights"], x)
 
-    def multiply(self, state: DataFrame, last: int) -> DataFrame:
-        """``state`` with the image of the last columns of its basis under A Aᵀ."""
+    def multiply(self, state: DataFrame, width: int, mix: tuple[float, float, float] | None = None) -> DataFrame:
+        """``state`` with A Aᵀ basis as image. With ``mix`` = (a, b, c) the step of a filter: the new basis is a · A Aᵀ basis + b · basis + c · image,
+        the new image the old basis."""
         side = self._documents_side
 
         def work(key: tuple, pieces: pa.Table, packed: pa.Table) -> pa.Table:
-            cells, pieces, y = side(pieces, packed, last)
+            cells, pieces, y = side(pieces, packed, width)
             z = _sums(cells["column_starts"], cells["rows"], cells["weights"][cells["turn"]], y)
             ends = np.cumsum([len(p) // 4 for p in pieces.column("places").to_pylist()])
             out = [np.ascontiguousarray(part).tobytes() for part in np.split(z, ends[:-1])]
@@ -180,14 +184,18 @@ class BlockedMatrix:
 
         def gather(key: tuple, pieces: pa.Table, have: pa.Table) -> pa.Table:
             n = have.column("n")[0].as_py()
-            image = np.zeros((n, last))
+            image = np.zeros((n, width))
             # The pieces in a stated order, so that sums are the same at every run.
             for places, piece in sorted(zip(pieces.column("places").to_pylist(), pieces.column("piece").to_pylist())):
-                image[np.frombuffer(places, np.int32)] += np.frombuffer(piece, np.float64).reshape(-1, last)
-            return pa.table({"part": have.column("part"), "n": have.column("n"), "basis": have.column("basis"), "image": pa.array([image.tobytes()], pa.binary())})
+                image[np.frombuffer(places, np.int32)] += np.frombuffer(piece, np.float64).reshape(-1, width)
+            old = have.column("basis")
+            if mix is None:
+                return pa.table({"part": have.column("part"), "n": have.column("n"), "basis": old, "image": pa.array([image.tobytes()], pa.binary())})
+            image = mix[0] * image + mix[1] * _matrix(old[0].as_py(), n) + mix[2] * _matrix(have.column("image")[0].as_py(), n)
+            return pa.table({"part": have.column("part"), "n": have.column("n"), "basis": pa.array([image.tobytes()], pa.binary()), "image": old})
 
-        back = self._sent(state, last).groupBy("bucket").cogroup(self.packed.groupBy("bucket")).applyInArrow(work, "part int, places binary, piece binary")
-        return materialize(back.groupBy("part").cogroup(state.select("part", "n", "basis").groupBy("part")).applyInArrow(gather, _STATE), "image")
+        back = self._sent(state).groupBy("bucket").cogroup(self.packed.groupBy("bucket")).applyInArrow(work, "part int, places binary, piece binary")
+        return materialize(back.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(gather, _STATE), "image")
 
     def documents(self, state: DataFrame, width: int) -> DataFrame:
         """(id, y): Aᵀ times the basis."""
@@ -197,7 +205,7 @@ class BlockedMatrix:
             cells, _, y = side(pieces, packed, width)
             return pa.table({"id": cells["ids"], "y": pa.ListArray.from_arrays(np.arange(0, y.size + 1, width, dtype=np.int32), pa.array(y.ravel()))})
 
-        return self._sent(state, width).groupBy("bucket").cogroup(self.packed.groupBy("bucket")).applyInArrow(work, "id long, y array<double>")
+        return self._sent(state).groupBy("bucket").cogroup(self.packed.groupBy("bucket")).applyInArrow(work, "id long, y array<double>")
 
     def terms(self, state: DataFrame, width: int) -> DataFrame:
         """(term, y): the rows of the basis."""
@@ -212,8 +220,8 @@ class BlockedMatrix:
 
     @staticmethod
     def gram(state: DataFrame, fix: np.ndarray | None = None) -> np.ndarray:
-        """[basis image]ᵀ [basis image], the image less basis · ``fix``. Tasks sum their rows, the sums are added by rows of the
-        result; one job."""
+        """[basis image]ᵀ [basis image], the image less basis · ``fix``. Tasks sum their rows, and the sums are added by rows of the
+        result, in one job."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -222,28 +230,32 @@ class BlockedMatrix:
                     both = _both(n, basis, image, fix)
                     total = both.T @ both if total is None else total + both.T @ both
             if total is not None:
-                yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "g"])
+                rows = pa.ListArray.from_arrays(np.arange(0, total.size + 1, len(total), dtype=np.int32), pa.array(total.ravel()))
+                yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), rows], names=["i", "g"])
 
         def add(key: tuple, t: pa.Table) -> pa.Table:
-            rows = np.array(t.column("g").to_pylist()).sum(axis=0)
+            rows = np.asarray(t.column("g").combine_chunks().flatten()).reshape(len(t), -1).sum(axis=0)
             return _table({"i": ([key[0].as_py()], pa.int32()), "g": ([rows.tolist()], pa.list_(pa.float64()))})
 
-        found = state.select("n", "basis", "image").mapInArrow(part, "i int, g array<double>").groupBy("i").applyInArrow(add, "i int, g array<double>").toArrow().sort_by("i")
-        return np.array(found.column("g").to_pylist())
+        parts = state.select("n", "basis", "image").mapInArrow(part, "i int, g array<double>")
+        if state._jdf.rdd().getNumPartitions() > DRIVER_SUMS:
+            parts = parts.groupBy("i").applyInArrow(add, "i int, g array<double>")
+        found = parts.toArrow().sort_by("i").combine_chunks()
+        width = len(found.column("g")[0])
+        rows = np.asarray(found.column("g").combine_chunks().flatten()).reshape(-1, width)
+        return rows.reshape(width, -1, width).sum(axis=1)
 
     @staticmethod
-    def turned(state: DataFrame, keep: np.ndarray, add: np.ndarray | None = None, fix: np.ndarray | None = None) -> DataFrame:
-        """The basis · ``keep``, followed by (image - basis · ``fix``[0] - basis · ``fix``[1]) · ``add``."""
+    def turned(state: DataFrame, p: np.ndarray, q: np.ndarray | None = None, r: np.ndarray | None = None) -> DataFrame:
+        """The basis · ``p`` (+ the image · ``q``), with the basis · ``r`` as image."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for number, n, basis, image in zip(*(c.to_pylist() for c in batch.columns)):
                     s = _matrix(basis, n)
-                    out = s @ keep
-                    if add is not None:
-                        fresh = _matrix(image, n) - s @ fix[0]
-                        out = np.hstack([out, (fresh - s @ fix[1]) @ add])
-                    yield pa.record_batch([pa.array([number], pa.int32()), pa.array([n], pa.int32()), pa.array([np.ascontiguousarray(out).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["part", "n", "basis", "image"])
+                    out = s @ p if q is None else s @ p + _matrix(image, n) @ q
+                    kept = b"" if r is None else np.ascontiguousarray(s @ r).tobytes()
+                    yield pa.record_batch([pa.array([number], pa.int32()), pa.array([n], pa.int32()), pa.array([np.ascontiguousarray(out).tobytes()], pa.binary()), pa.array([kept], pa.binary())], names=["part", "n", "basis", "image"])
 
         return materialize(state.mapInArrow(run, _STATE), "basis")
 
@@ -256,54 +268,68 @@ def _both(n: int, basis: bytes, image: bytes, fix: np.ndarray | None) -> np.ndar
     return np.hstack([s, w if fix is None else w - s @ fix])
 
 
-def _directions(gram: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, directions) of the Gram matrix's columns that are longer than ``floor``."""
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > floor * floor
-    return np.sqrt(values[keep]), vectors[:, keep]
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """What makes columns with this Gram matrix orthonormal; columns of no length and directions of rounding errors are dropped."""
+    size = np.sqrt(np.maximum(np.diag(gram), 0))
+    keep = np.flatnonzero(size > 0)
+    scaled = gram[np.ix_(keep, keep)] / np.outer(size[keep], size[keep])
+    values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
+    good = values > NOISE * values.max(initial=0.0)
+    out = np.zeros((len(gram), int(good.sum())))
+    out[keep] = vectors[:, good] / np.sqrt(values[good]) / size[keep][:, None]
+    return out
+
+
+def _ritz(mass: np.ndarray, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors), falling, of projected · y = value · mass · y; ``mass`` is near the unit matrix."""
+    low = np.linalg.cholesky((mass + mass.T) / 2)
+    inner = np.linalg.solve(low, np.linalg.solve(low, (projected + projected.T) / 2).T)
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    return values[::-1], np.linalg.solve(low.T, vectors[:, ::-1])
+
+
+def _degree(values: np.ndarray, k: int, bound: float) -> int:
+    """The largest degree up to :data:`DEGREE` whose filter of [0, ``bound``] favours the largest value not too much over the k-th."""
+    grow = np.arccosh(np.maximum(2 * values[[0, k - 1]] / bound - 1, 1.0))
+    return next((d for d in range(DEGREE, 1, -1) if np.cosh(min(700.0, d * grow[0])) <= MOST_FAVOUR * np.cosh(min(700.0, d * grow[1]))), 1)
 
 
 def leading_triplets(matrix: BlockedMatrix, k: int, oversampling: int, tolerance: float, seed: int, most_products: int) -> tuple[np.ndarray, DataFrame, float]:
     """(sigma, state whose basis are the left vectors, the largest residual): the ``k`` leading singular triplets.
 
-    The basis grows by the part of A Aᵀ (last block) that is orthogonal to it, orthogonalised twice. The eigenvectors of the
-    projected matrix are taken when all of |A v - sigma u| <= ``tolerance`` · sigma, which follows from their last
-    components. At :data:`MOST_COLUMNS` columns the basis is cut down to its best vectors. Ends also if the basis
-    can't grow, as then it holds all that A reaches, or after ``most_products`` products.
+    A block of k + ``oversampling`` columns is taken through a Chebyshev polynomial of A Aᵀ that damps all values up to the least
+    of the block, and made orthonormal; then the eigenvectors within it are taken. This ends when all of |A v - sigma u| are at most
+    ``tolerance`` · sigma (or a rounding error of the largest), or after ``most_products`` products.
     """
     width = min(k + oversampling, matrix.n_documents, matrix.n_terms)
     state = matrix.start(width, seed)
-    for _ in range(2):
-        size, turn = _directions(matrix.gram(state), 0.0)
-        state = _after(state, matrix.turned(state, turn / size))
-    fresh = width = len(size)
-    projected = np.zeros((0, 0))
-    for product in range(1, most_products + 1):
-        state = _after(state, matrix.multiply(state, fresh))
+    products = rounds = 0
+    while True:
+        turn = _whitening(matrix.gram(state)[:width, :width])
+        state, width = _after(state, matrix.turned(state, turn)), turn.shape[1]
+        state = _after(state, matrix.multiply(state, width))
+        products, rounds, k = products + 1, rounds + 1, min(k, width)
         gram = matrix.gram(state)
-        within = gram[:width, width:]
-        grown = np.zeros((width, width))
-        grown[: len(projected), : len(projected)] = projected
-        grown[:, -fresh:] = within
-        grown[-fresh:, :] = within.T
-        projected = grown
-        values, vectors = np.linalg.eigh((projected + projected.T) / 2)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        again = matrix.gram(state, within)[:, width:]
-        size, turn = _directions(again[width:] - again[:width].T @ again[:width], NOISE * max(values[0], 1e-300))
-        last = (size[:, None] * turn.T) @ vectors[-fresh:, :k]
-        good = values[:k] > 0
-        residual = float((np.sqrt((last * last).sum(axis=0))[good] / values[:k][good]).max(initial=0.0))
-        if residual <= tolerance or not len(size) or product == most_products:
-            break
-        keep, kept = np.eye(width), projected
-        if width + len(size) > MOST_COLUMNS:
-            most = min(width, k + oversampling)
-            keep, kept = vectors[:, :most], np.diag(values[:most])
-        state = _after(state, matrix.turned(state, keep, turn / size, np.stack([within, again[:width]])))
-        projected, fresh = kept, len(size)
-        width = len(kept) + fresh
-    return np.sqrt(np.maximum(values[:k], 0)), _after(state, matrix.turned(state, vectors[:, :k])), residual
+        mass, projected = gram[:width, :width], gram[:width, width:]
+        values, vectors = _ritz(mass, projected)
+        # What the image has outside of the block.
+        outside = matrix.gram(state, np.linalg.solve(mass, projected))[width:, width:]
+        length = np.sqrt(np.maximum(np.einsum("ij,ij->j", vectors[:, :k], outside @ vectors[:, :k]), 0))
+        short = length - NOISE * values[0]
+        residual = float((np.maximum(short, 0) / np.maximum(values[:k], NOISE * values[0])).max(initial=0.0))
+        if residual <= tolerance or products >= most_products:
+            return np.sqrt(np.maximum(values[:k], 0)), _after(state, matrix.turned(state, vectors[:, :k])), residual
+        # Below the last wanted value, also where the block has no more columns. While the block is young its least value says little, so
+        # the filter is mild.
+        bound = max(min(float(values[-1]), 0.8 * float(values[k - 1])), 1e-6 * float(values[0]))
+        degree = min(_degree(values, k, bound), 2 * rounds)
+        half = bound / 2
+        first = step = half / (values[0] - half)
+        state = _after(state, matrix.turned(state, vectors * (-step), vectors * (step / half), vectors))
+        for _ in range(degree - 1):
+            after = 1 / (2 / first - step)
+            state = _after(state, matrix.multiply(state, width, (2 * after / half, -2 * after, -step * after)))
+            step, products = after, products + 1
 
 
 def _after(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -93,8 +93,8 @@ class Factors:
     documents: DataFrame
 
     @staticmethod
-    def fit(postings: DataFrame, k: int = 25, oversampling: int = 25, tolerance: float = 1e-8, seed: int = 42, most_products: int = 60) -> Factors:
-        """The ``k`` leading triplets by a block Krylov method (:func:`~scrivora.operators.blocks.leading_triplets`), to a residual
+    def fit(postings: DataFrame, k: int = 25, oversampling: int = 50, tolerance: float = 1e-8, seed: int = 42, most_products: int = 200) -> Factors:
+        """The ``k`` leading triplets by subspace iteration with a filter (:func:`~scrivora.operators.blocks.leading_triplets`), to a residual
         |A v - sigma u| of at most ``tolerance`` · sigma, by which sigma itself is right to about its square.
 
         Postings without weight are left out; none at all is an error, as is a residual above ``tolerance`` after ``most_products`` products.

@@ -25,19 +25,19 @@ def without_stop_words(df: DataFrame, stop_words: DataFrame | None, column: str
     return df if stop_words is None else df.join(stop_words.select(F.col("word").alias(column)).distinct(), column, "left_anti")
 
 
-def stemmed_vocabulary(df: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
-    """(word, stem) of the distinct tokens that are no stop words, written once so that stemming is done once per word."""
-    words = without_stop_words(tokens(df).select("token").distinct(), stop_words)
+def stemmed_vocabulary(cut: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
+    """(word, stem) of the distinct tokens in ``cut`` that are no stop words, written once so that stemming is done once per word."""
+    words = without_stop_words(cut.select("token").distinct(), stop_words)
     # Few bytes but much work per word: kept apart from the rule that joins small partitions.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialize(stem_words(words.repartition(n, "token"), "token"), "stems")
 
 
 def term_frequencies(df: DataFrame, stop_words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """(id, term, tf): how often each stemmed term occurs in each document. Tokens are counted per document before
-    they meet their stems, so a frequent word costs one row per document."""
-    counts = tokens(df).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = stemmed_vocabulary(df, stop_words) if vocabulary is None else vocabulary
+    they meet their stems, so a frequent word costs one row per document; the counts are written, so texts are read once."""
+    counts = materialize(tokens(df).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n")), "counts")
+    vocabulary = stemmed_vocabulary(counts, stop_words) if vocabulary is None else vocabulary
     return counts.join(vocabulary, counts["token"] == vocabulary["word"]).groupBy("id", F.col("stem").alias("term")).agg(F.sum("n").cast("double").alias("tf"))
 
 
@@ -84,8 +84,8 @@ def summed_entries(entries: DataFrame) -> DataFrame:
 def vocabulary(df: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """(term_id, term), numbered by first appearance in document and token order."""
     placed = df.select("id", F.posexplode(tokenize(F.col("text"))).alias("place", "token"))
-    first = placed.groupBy("token").agg(F.min(F.struct("id", "place")).alias("first"))
-    stems = stemmed_vocabulary(df, stop_words)
+    first = materialize(placed.groupBy("token").agg(F.min(F.struct("id", "place")).alias("first")), "first-seen")
+    stems = stemmed_vocabulary(first, stop_words)
     terms = first.join(stems, first["token"] == stems["word"]).groupBy(F.col("stem").alias("term")).agg(F.min("first").alias("first"))
     numbered = number_rows(terms.select("term", F.col("first.id").alias("_id"), F.col("first.place").alias("_place")), ["_id", "_place", "term"], "term_id")
     return numbered.select("term_id", "term")

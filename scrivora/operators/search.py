@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +79,18 @@ def top_documents(index: TextIndex, text: str, limit: int = DEFAULT_LIMIT, mode:
 
 def _asked(index: TextIndex, text: str, mode: str, raw: bool) -> dict[str, float]:
     """The query's terms with their weights that are not 0."""
-    queries = one_query(index, text)
-    vectors = raw_query_vectors(queries, mode) if raw else None
-    if vectors is None:
-        terms = {r["term"]: r["n"] for r in query_terms(queries, mode).collect()}
-        idf = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(list(terms))).select("term", "idf").collect()}
-        weights = {t: terms[t] * i for t, i in idf.items()}
-        size = sum(w * w for w in weights.values()) ** 0.5
-        return {t: w / size for t, w in weights.items() if w}
-    return {r["term"]: r["weight"] for r in vectors.collect() if r["weight"]}
+    spark = index.documents.sparkSession
+    if mode == "raw":
+        # A literal over a local row: cut by the optimizer, without a job.
+        counts = dict(Counter(spark.sql("VALUES (1)").select(tokenize(F.lit(text))).head()[0]))
+    else:
+        counts = {r["term"]: r["n"] for r in query_terms(one_query(index, text), mode).collect()}
+    if raw:
+        return {t: float(n) for t, n in counts.items()}
+    idf = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(list(counts))).select("term", "idf").collect()} if counts else {}
+    weights = {t: counts[t] * i for t, i in idf.items()}
+    size = sum(w * w for w in weights.values()) ** 0.5
+    return {t: w / size for t, w in weights.items() if w}
 
 
 def _top_by_joins(index: TextIndex, text: str, limit: int, mode: str, raw: bool) -> DataFrame:

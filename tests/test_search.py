@@ -160,16 +160,26 @@ def reference_matrix(table, n_docs, n_terms, seed):
     return a, table([(int(d), f"t{t}", float(a[t, d])) for t, d in zip(i, j)], "id long, term string, weight double")
 
 
-@pytest.mark.parametrize("most_columns", [480, 60])
-def test_factors_converge(table, monkeypatch, most_columns):
-    monkeypatch.setattr("scrivora.operators.blocks.MOST_COLUMNS", most_columns)
+@pytest.mark.parametrize("oversampling", [4, 40, 500])
+def test_factors_converge(table, oversampling):
     a, postings = reference_matrix(table, 150, 220, 1)
     exact = np.linalg.svd(a, compute_uv=False)[:8]
-    factors = Factors.fit(postings, k=8, oversampling=8)
+    factors = Factors.fit(postings, k=8, oversampling=oversampling)
     assert np.abs(factors.sigma / exact - 1).max() < 1e-10
     assert all(left < 1e-6 and right < 1e-6 for _, left, right in residuals(factors, postings))
 
 
+def test_factors_of_a_matrix_of_low_rank(table):
+    """Five different columns, each many times, and values that fall by a thousand: fewer triplets than asked for."""
+    rng = np.random.default_rng(2)
+    u, v = np.linalg.qr(rng.standard_normal((30, 5)))[0], np.linalg.qr(rng.standard_normal((40, 5)))[0]
+    sigma = np.array([100.0, 50.0, 7.0, 1.0, 0.1])
+    a = (u * sigma) @ v.T
+    postings = table([(j, f"t{i}", float(a[i, j])) for i in range(30) for j in range(40)], "id long, term string, weight double")
+    assert np.allclose(Factors.fit(postings, k=9).sigma[:5], sigma, rtol=1e-7) and len(Factors.fit(postings, k=9).sigma) < 9
+    assert np.allclose(Factors.fit(postings, k=2, oversampling=1).sigma, sigma[:2], rtol=1e-9)
+
+
 def test_factors_say_when_they_do_not_converge(table):
     with pytest.raises(ValueError, match="convergence"):
         Factors.fit(reference_matrix(table, 150, 220, 1)[1], k=8, oversampling=2, most_products=2)
