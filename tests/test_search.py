@@ -260,3 +260,28 @@ def test_factors_of_nothing(index):
 def test_latent_neighbours(spark, table):
     vectors = table([(1, [1.0, 0.0, 9.0]), (1, [1.0, 0.0, 9.0]), (2, [0.0, 1.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0, 1.0]), (6, [0.0, 0.0, 1.0])], "doc_pos long, docs_ser array<double>")
     assert [tuple(r) for r in latent_neighbours(vectors, [1.0, 0.0, 0.0], 2, 9).collect()] == [(1, 1.0), (2, 0.0), (6, 0.0)]
+
+
+def test_strongest_terms_do_not_write_the_matrix(spark, table, monkeypatch):
+    """The list is that of the whole matrix, ties and small entries included, from few rows of each block."""
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((3000, 3)) * 10.0 ** rng.integers(-12, 1, (3000, 1))
+    v = rng.standard_normal((30, 3)) * 10.0 ** rng.integers(-3, 1, (30, 1))
+    u[:40] = u[40]
+    u /= np.linalg.norm(u, axis=0)
+    v[0] = 0
+    terms = materialize(table([(f"t{i:04}", [float(x) for x in r]) for i, r in enumerate(u)], "term string, u array<double>"), "terms")
+    documents = materialize(table([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>"), "documents")
+    found = Factors(np.ones(3), terms, documents)
+    whole = found.low_rank_matrix(documents.where("id < 20")).toPandas()
+    expected = {}
+    for i, some in whole.groupby("id"):
+        some = sorted(zip(some["term"], some["weight"]), key=lambda r: (-abs(r[1]), r[0]))[:20]
+        expected |= {(i, t): w for t, w in some}
+    from scrivora.operators import factors as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    got = {(r["id"], r["term"]): r["weight"] for r in found.strongest_terms(documents.where("id < 20")).collect()}
+    assert got == expected and len({i for i, _ in got}) == 19
+    assert written[-1].count() < len(whole) / 10
