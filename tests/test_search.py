@@ -285,3 +285,16 @@ def test_strongest_terms_do_not_write_the_matrix(spark, table, monkeypatch):
     got = {(r["id"], r["term"]): r["weight"] for r in found.strongest_terms(documents.where("id < 20")).collect()}
     assert got == expected and len({i for i, _ in got}) == 19
     assert written[-1].count() < len(whole) / 10
+
+
+def test_factors_multiply_few_columns(table, monkeypatch):
+    """A product takes as many columns as there are wanted values, not the oversampled block; values that occur often are all found."""
+    from scrivora.operators.blocks import BlockedMatrix
+
+    a, postings = reference_matrix(table, 150, 220, 1)
+    widths, multiply = [], BlockedMatrix.multiply
+    monkeypatch.setattr(BlockedMatrix, "multiply", lambda self, state, width, *more: widths.append(width) or multiply(self, state, width, *more))
+    assert np.allclose(Factors.fit(postings, k=8, oversampling=40).sigma, np.linalg.svd(a, compute_uv=False)[:8], rtol=1e-10)
+    assert max(widths) == 8 and sum(widths) < 240
+    same = table([(j, f"t{j}", 2.0 if j < 6 else 1.0) for j in range(40)], "id long, term string, weight double")
+    assert np.allclose(Factors.fit(same, k=8).sigma, [2.0] * 6 + [1.0] * 2, rtol=1e-10)
