@@ -298,3 +298,33 @@ def test_factors_multiply_few_columns(table, monkeypatch):
     assert max(widths) == 8 and sum(widths) < 240
     same = table([(j, f"t{j}", 2.0 if j < 6 else 1.0) for j in range(40)], "id long, term string, weight double")
     assert np.allclose(Factors.fit(same, k=8).sigma, [2.0] * 6 + [1.0] * 2, rtol=1e-10)
+
+
+def test_residuals_send_sums_not_postings(table, monkeypatch):
+    """Residuals of any vectors, also where documents or terms have no postings or no vector, from one sum per bucket and term."""
+    from scrivora.operators import factors as module
+
+    a, postings = reference_matrix(table, 150, 220, 1)
+    rng = np.random.default_rng(4)
+    u, v, sigma = rng.standard_normal((221, 3)), rng.standard_normal((151, 3)), np.array([3.0, 2.0, 1.0])
+    a, u[5], v[7] = np.pad(a, ((0, 1), (0, 1))), 0, 0
+    terms = table([(f"t{i}", [float(x) for x in r]) for i, r in enumerate(u) if i != 5], "term string, u array<double>")
+    documents = table([(i, [float(x) for x in r]) for i, r in enumerate(v) if i != 7], "id long, v array<double>")
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append((name, materialize(df, name))) or written[-1][1])
+    monkeypatch.setattr(module, "release", lambda *tables: None)
+    got = residuals(Factors(sigma, terms, documents), postings)
+    left, right = np.linalg.norm(a @ v - u * sigma**2, axis=0) / sigma**2, np.linalg.norm(a.T @ u - v, axis=0) / sigma
+    assert [i for i, _, _ in got] == [0, 1, 2]
+    assert np.allclose([x[1:] for x in got], np.stack([left, right], axis=1), rtol=1e-12)
+    sums = dict(written)["residuals"]
+    assert sums.where("term is not null").groupBy("term").count().agg(F.max("count")).head()[0] <= sums.where("term is null").count()
+    assert sums.count() < postings.count()
+
+
+def test_tokens_are_counted_without_a_shuffle(table):
+    texts = [(1, "Cat cat, the-MICE x yy zzz1 É catéabc"), (2, None), (3, ""), (4, "  \n\t9999 ab"), (2, "again again"), (1, "cat")]
+    articles = table(texts, "id long, text string")
+    counts = ix.token_counts(articles)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert rows(counts.groupBy("id", "token").agg(F.sum("n"))) == rows(ix.tokens(articles).groupBy("id", "token").count())
