@@ -322,6 +322,17 @@ def test_residuals_send_sums_not_postings(table, monkeypatch):
     assert sums.count() < postings.count()
 
 
+def test_products_of_columns_are_made_by_task(table):
+    """Not by one expression for each pair of columns."""
+    x = np.random.default_rng(5).standard_normal((300, 25))
+    vectors, scale = table([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<double>"), [float(i + 1) for i in range(25)]
+    found = queries._products(vectors, "v", scale)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sum(") == 1
+    got = {(r["i"], r["j"]): r["product"] for r in found.collect()}
+    expected = (x / scale).T @ (x / scale)
+    assert len(got) == 625 and max(abs(got[i, j] - expected[i, j]) for i in range(25) for j in range(25)) < 1e-6
+
+
 def test_tokens_are_counted_without_a_shuffle(table):
     texts = [(1, "Cat cat, the-MICE x yy zzz1 É catéabc"), (2, None), (3, ""), (4, "  \n\t9999 ab"), (2, "again again"), (1, "cat")]
     articles = table(texts, "id long, text string")
